@@ -7,7 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, quality_rules, simhash, substring_dedup
+
+
+#: Windows of 20 words that also start earlier, found by numbering equal word sequences.
+OP1_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS place,
+    unnest(list_transform(range(1, len(words) - 18), lambda i: array_to_string(words[i:i + 19], ' '))) AS sequence
+  FROM split
+), repeats AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, place) > 1 AS repeated FROM windows
+), single AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM split
+), covered AS (
+  SELECT s.doc_id, s.place, s.word, coalesce(bool_or(r.repeated) OVER (
+    PARTITION BY s.doc_id ORDER BY s.place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM single s LEFT JOIN repeats r ON s.doc_id = r.doc_id AND s.place = r.place
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone), '') AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +48,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL}
