@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash, substring_dedup
+from . import html_text, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_output
+from .common import shared_folder
 
 
 #: Windows of 20 words that also start earlier, found by numbering equal word sequences.
@@ -36,6 +38,48 @@ SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_remo
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
 
+#: Every exponent of the grid at once; blocks and permutations by the same md5 numbers.
+OP5_SQL = r"""
+WITH units AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), sources AS (
+  SELECT source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, count(*) AS docs FROM units GROUP BY source
+), overall AS (
+  SELECT sum(tokens) AS total, count(*) AS n FROM sources WHERE tokens > 0
+), raised AS (
+  SELECT step, tokens / total AS p, pow(tokens / total, step / 32768.0) AS w
+  FROM sources, overall, range(0, 32769) AS grid(step) WHERE tokens > 0
+), summed AS (
+  SELECT step, sum(w) AS z, ln(sum(w)) - step / 32768.0 * sum(w * ln(p)) / sum(w) AS entropy, max(w / p) / sum(w) AS epochs
+  FROM raised GROUP BY step
+), chosen AS (
+  SELECT greatest(coalesce(max(step) FILTER (WHERE entropy >= 0.97 * ln(n)), 0), min(step) FILTER (WHERE epochs <= 4.0)) AS step
+  FROM summed, overall
+), budgets AS (
+  SELECT source, tokens, docs, floor(pow(tokens / total, chosen.step / 32768.0) / z * total + 0.5) AS budget
+  FROM sources, overall, chosen, summed WHERE summed.step = chosen.step
+), dealt AS (
+  SELECT doc_id, u.source, n_tokens, budget, tokens,
+    CAST('0x' || substr(md5('block|' || doc_id), 1, 8) AS BIGINT) % CAST(ceil(docs / 1024.0) AS BIGINT) AS block
+  FROM units u JOIN budgets b ON u.source = b.source
+), held AS (
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, block) AS DOUBLE) AS block_tokens FROM dealt
+), given AS (
+  SELECT *, floor(budget / tokens * block_tokens + 0.5) AS given FROM held
+), epochs AS (
+  SELECT *, CAST(floor(given / block_tokens) AS BIGINT) AS whole FROM given
+), last AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY md5(whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING)
+    <= given - whole * block_tokens AS extra
+  FROM epochs
+), every AS (
+  SELECT doc_id, source, n_tokens, block, unnest(range(0, whole + CASE WHEN extra THEN 1 ELSE 0 END)) AS epoch FROM last
+)
+SELECT doc_id, source, n_tokens, block, CAST(epoch AS INTEGER) AS epoch,
+  row_number() OVER (PARTITION BY source, block, epoch ORDER BY md5(epoch || '|' || doc_id)) AS place
+FROM every
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,13 +105,32 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = mixing.plan(table(spark, sf_dir, "documents"))
+    return given.select("doc_id", "source", "n_tokens", "block", "epoch", "place")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    lengths = token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), 2)
+    return token_output.read_tokens(spark, path, lengths)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL}
