@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_output
+from . import embedding_dedup, html_text, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_output
 from .common import shared_folder
 
 
@@ -80,6 +80,27 @@ SELECT doc_id, source, n_tokens, block, CAST(epoch AS INTEGER) AS epoch,
 FROM every
 """
 
+#: All pairs of a label, and what is reachable by links.
+OP7_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reached AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), named AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+), counted AS (
+  SELECT x, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, n.component_id, e.vec_id = n.component_id AS kept
+FROM embeddings e JOIN named n ON e.vec_id = n.x LEFT JOIN counted c ON e.vec_id = c.x
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -114,6 +135,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -133,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL}
