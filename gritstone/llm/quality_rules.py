@@ -26,7 +26,7 @@ RULES = {
     "symbols": ("n_symbols", "n_words", 0.3, 0.02),
     "capitals": ("n_upper", "n_letters", 0.5, 0.15),
     "exclamations": ("n_exclaims", "n_words", 0.3, 0.02),
-    "repeated_windows": ("n_repeat_words", "n_words", 0.2, 0.01),
+    "repeated_windows": ("n_repeat_words", "n_words", 0.3, 0.01),
     "adjacent_repeats": ("n_adjacent", "n_words", 0.2, 0.03),
     "no_letters": ("n_no_letter_words", "n_words", 0.2, 0.05),
     "repeated_lines": ("n_dup_lines", "n_lines", 0.4, 0.05),
@@ -80,6 +80,11 @@ def estimate(patterns: dict[int, int], turns: int = 200) -> tuple[dict[int, floa
     return {int(c): float(p) for c, p in zip(codes, likely[0], strict=True)}, {"share_good": float(share[0]), "rules": rules}
 
 
+def base_failed(counts: dict):
+    """Too few words, or over 30 of 100 words in repeated windows."""
+    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+
+
 def rule_counts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and the pattern of votes of every document."""
 
@@ -92,21 +97,41 @@ def rule_counts(docs: DataFrame) -> DataFrame:
             counts = stats(part.column("text"))
             code = votes(counts)
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(counts[x], pa.int64()) for x in names], pa.array(failed), pa.array(code)], names=["doc_id", *names, "base_failed", "pattern"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(counts[x], pa.int64()) for x in names], pa.array(base_failed(counts)), pa.array(code)], names=["doc_id", *names, "base_failed", "pattern"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern long"
     return map_batches(spread(docs.select(F.col("doc_id").cast("long"), "text")), run, schema)
 
 
+def probabilities(counts: DataFrame) -> dict[int, float]:
+    """The probability of being good by pattern: at most 3 ** len(RULES) counts reach the driver."""
+    patterns = {x["pattern"]: x["count"] for x in counts.where("not base_failed").groupBy("pattern").count().collect()}
+    return estimate(patterns)[0]
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """The base counts, base_failed, the probability of being good and the verdict ``kept``."""
-    spark = docs.sparkSession
     counts = materialise(rule_counts(docs), "rules")
-    patterns = {x["pattern"]: x["count"] for x in counts.where("not base_failed").groupBy("pattern").count().collect()}
-    good, _ = estimate(patterns)
     # at most 3 ** len(RULES) rows
-    table = spark.createDataFrame([(k, v) for k, v in good.items()], "pattern long, p_good double")
+    table = docs.sparkSession.createDataFrame(list(probabilities(counts).items()), "pattern long, p_good double")
     judged = counts.join(F.broadcast(table), "pattern", "left")
     kept = ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= GOOD_FROM)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "p_good")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, in place: the votes are counted again rather than joined."""
+    good = probabilities(materialise(rule_counts(docs), "rules"))
+    kept = sorted(k for k, p in good.items() if p >= GOOD_FROM)
+
+    def run(batch) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .text_stats import stats
+
+        for part in pieces_of(batch, "text"):
+            counts = stats(part.column("text"))
+            yield part.filter(pa.array(~base_failed(counts) & np.isin(votes(counts), kept)))
+
+    return map_batches(docs, run, docs.schema)

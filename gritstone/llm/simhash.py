@@ -236,3 +236,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame
     labels = components(shard_edges(groups.where("node is not null").select("node", "print"), reach))
     named = materialise(groups.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "named")
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group, that with the smallest doc_id; rows without doc_id stay."""
+    groups = near_duplicates(docs, size, reach)
+    named = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    kept = docs.join(named.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not named.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
