@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_output
+from . import embedding_dedup, html_text, mixing, packing, quality_gam, quality_rules, secret_scan, simhash, substring_dedup, token_output
 from .common import shared_folder
 
 
@@ -126,6 +126,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mixing.plan(table(spark, sf_dir, "documents"))
     return given.select("doc_id", "source", "n_tokens", "block", "epoch", "place")
