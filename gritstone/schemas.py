@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-BLOBS = T._parse_datatype_string("path string, part string, hint string, size long, content binary")
-LINES = T._parse_datatype_string("path string, line long, grp long, text string")
-STRINGS = T._parse_datatype_string("path string, offset long, address string, value string, classes array<string>")
-EVENTS = T._parse_datatype_string("time timestamp, time_ns long, host string, user string, message string, severity int, sequence string, source string, category string, service string, fields map<string,string>")
-TIMELINE = T._parse_datatype_string("name string, inode string, size long, mode string, m_time timestamp, a_time timestamp, c_time timestamp, b_time timestamp, anomaly boolean")
-FILE_INFO = T._parse_datatype_string("file string, bytes long, lines long, offset long, entropy double, is_block boolean")
-TEMPLATES = T._parse_datatype_string("service string, event_id long, template string")
-WORDLIST = T._parse_datatype_string("digest string, word string")
+KINDS = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(),
+    "strings": T.ArrayType(T.StringType()), "fields": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema from ``name kind`` pairs, which needs no running session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in columns.split(","))])
+
+
+BLOBS = struct("path string, part string, hint string, size long, content binary")
+LINES = struct("path string, line long, grp long, text string")
+STRINGS = struct("path string, offset long, address string, value string, classes strings")
+EVENTS = struct("time timestamp, time_ns long, host string, user string, message string, severity int, sequence string, source string, category string, service string, fields fields")
+TIMELINE = struct("name string, inode string, size long, mode string, m_time timestamp, a_time timestamp, c_time timestamp, b_time timestamp, anomaly boolean")
+FILE_INFO = struct("file string, bytes long, lines long, offset long, entropy double, is_block boolean")
+TEMPLATES = struct("service string, event_id long, template string")
+WORDLIST = struct("digest string, word string")
+#: Rows of the event stream as they arrive.
+EVENT_ROWS = struct("event_id long, ts timestamp, user_id long, event_type string, value double, props string")

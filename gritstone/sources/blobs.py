@@ -29,7 +29,12 @@ def scan(spark: SparkSession, *paths: str, recursive: bool = True, pattern: str
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(plain)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), "content")
+    # the reader passes over empty files, but they are files; the listing is on the driver anyway
+    listed = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string")
+    name = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path")
+    some = files.select(name, F.col("length").alias("size"), "content")
+    empty = listed.select(name).join(files.select(name), "path", "left_anti")
+    return some.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content")))
 
 
 def within_depth(blobs: DataFrame, root: str, most: int = DEPTH) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_valid(text: Column) -> Column:
@@ -66,7 +67,7 @@ def _indent_xml(text: str) -> str:
     return tree.toprettyxml(indent="  ").rstrip("\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _pretty(text: pd.Series, kind: pd.Series) -> pd.Series:
     def one(t, k):
         if t is None or k is None:

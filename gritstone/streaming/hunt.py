@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import KEY
 from ..plans import sigma
 from ..plans.hunt import hunt, normalise
-
-EVENT_ROWS = T._parse_datatype_string("event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+from ..schemas import EVENT_ROWS
 
 
 def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
