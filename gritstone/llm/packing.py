@@ -5,8 +5,9 @@ takes the remainder and all others are full. Full pieces are sequences of their
 dealt out over partitions of bounded size by a hash, each packed by best-fit decreasing. Dual
 feasible functions bound from below how many sequences a partition's pieces need: where the bound
 is met, no packing of them is better and the partition is certified. The open sequences of
-partitions with a gap give their pieces to a pool that is dealt out anew over half as many
-partitions and packed again, until no gap is left or one partition holds the pool.
+partitions with a gap, and the emptiest one of each certified partition, give their pieces to a pool
+that is dealt out anew over at most half as many partitions and packed again, until the pool is
+empty or fits one partition.
 
 Defined cases: a null text is an empty one, which is the end id alone; repeated rows and repeated
 doc_ids are packed once each; a null doc_id is kept; columns other than doc_id and text are ignored;
@@ -129,7 +130,9 @@ def _pack(pieces: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
         out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
         out = out.append_column("sequence_id", pa.array(_number(turn, part, where)))
         out = out.append_column("offset", pa.array(offset))
-        out = out.append_column("closed", pa.array((used[where] == capacity) | certified))
+        # a certified partition keeps its sequences but the emptiest, which others may still fill
+        settled = (used == capacity) | (certified & (np.arange(len(used)) != used.argmin()))
+        out = out.append_column("closed", pa.array(settled[where]))
         yield from out.combine_chunks().to_batches()
 
     ship(pieces.sparkSession)
