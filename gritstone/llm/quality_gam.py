@@ -172,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     train = rows.join(known, "doc_id").where(part != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features", "quality").collect()
-    x = np.array([r["features"] for r in train], float).reshape(len(train), -1)
+    x = np.array([r["features"] for r in train], float).reshape(len(train), 2 + len(RATIOS))
     model = fit(x, np.array([r["quality"] for r in train], float))
     ship(spark)
     held = spark.sparkContext.broadcast(model)
