@@ -10,17 +10,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Input below this many bytes is dealt out anew over the cores, as one file may be one task.
 SMALL_BYTES = 64 << 20
 
-_shipped: set[str] = set()
 _written: dict[str, list[str]] = {}
 
 
@@ -51,20 +51,6 @@ def drop_tables(spark: SparkSession) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="gritstone-")) / "gritstone.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted((root / "gritstone").rglob("*.py")):
-            out.write(file, file.relative_to(root))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of ``df``, which runs no job."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -76,10 +62,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan_bytes(df) < SMALL_BYTES else df
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions for ``df``: at least the session's, more where the input is larger."""
+def partitions_for(df: DataFrame, column: str, bytes_each: int) -> int:
+    """Shuffle partitions for ``df``: at least the session's, more where ``column`` holds more bytes.
+
+    The bytes are counted, as the optimiser knows no size of tables in memory and guesses that of joins.
+    """
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, own, -(-plan_bytes(df) // bytes_each))
+    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, own, -(-int(size) // bytes_each))
 
 
 def map_batches(df: DataFrame, func: Callable, schema: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, partitions_for, pieces_of, raw_bytes, ship, spread
 
-#: Bytes of input for each shuffle partition, and buckets in a partition.
+#: Bytes of text for each shuffle partition, and buckets in a partition.
 BYTES_EACH, BUCKETS_EACH = 16 << 20, 4
 #: Windows of one super-k-mer at most, so that text that repeats itself is cut into equal strings.
 LONGEST = 64
@@ -216,7 +216,7 @@ def _runs(doc, start, end):
 def repeated_windows(docs: DataFrame, window: int = 20, grain: int = 4) -> DataFrame:
     """(doc_id, first, last): runs of windows whose words also start earlier."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = partitions_for(docs, BYTES_EACH)
+    parts = partitions_for(docs, "text", BYTES_EACH)
     blocks = _blocks(docs, window, grain, parts * BUCKETS_EACH)
 
     def emit(spans):
