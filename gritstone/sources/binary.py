@@ -238,6 +238,17 @@ PARSERS: dict[str, Callable[[bytes], Iterator[dict]]] = {
 }
 
 
+def _event_log(data: bytes) -> Iterator[dict]:
+    from .evtx import chunks, records
+
+    for chunk in chunks(data):
+        for number, written, fields in records(chunk):
+            yield {"record": number, "time": filetime(written), "fields": fields}
+
+
+PARSERS["evtx"] = _event_log
+
+
 def rows_of(data: bytes) -> Iterator[tuple[str, dict]]:
     """(format, row) of a file of a known format; what is broken ends the rows."""
     kind = kind_of(data, CONVERTERS)

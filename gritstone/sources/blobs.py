@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_text
+from ..schemas import BLOBS
+from . import formats
+from .binary import rows_of
 from .codecs import CONVERTERS, Limits, detect, expand_blobs
 
 FILES, DEPTH = 8192, 63
@@ -70,21 +77,48 @@ def parts(blobs: DataFrame, part: str) -> DataFrame:
     return blobs.where(F.contains("path", F.lit(part)))
 
 
-def load(spark: SparkSession, *paths: str, unpack: bool = True, limits: Limits = Limits(), password: bytes | None = None) -> DataFrame:
-    """(path, part, hint, size, content): scanned, unpacked and each path once; ``hint`` names a binary format."""
-    files = scan(spark, *paths)
-    if unpack:
-        rows = expand_blobs(files, limits, password)
+def convert(blobs: DataFrame) -> DataFrame:
+    """Binary formats as JSON lines with the hint ``json``; what cannot be read stays as it is."""
+
+    def run(batches) -> Iterator:
+        import json
+
+        for batch in batches:
+            for k, content in enumerate(batch["content"]):
+                rows = [json.dumps(row, ensure_ascii=False) for _, row in rows_of(bytes(content or b""))]
+                if rows:
+                    batch.at[batch.index[k], "content"] = "\n".join(rows).encode()
+                    batch.at[batch.index[k], "hint"] = "json"
+            batch["size"] = batch["content"].map(len)
+            yield batch
+
+    return blobs.mapInPandas(run, BLOBS)
+
+
+def load(spark: SparkSession, *paths: str, raw: int = 2, limits: Limits = Limits(), password: bytes | None = None, files: int | None = None) -> DataFrame:
+    """(path, part, hint, size, content) of files and archive members, each path once.
+
+    ``raw`` leaves steps out: 1 the layout of JSON and XML, 2 the conversion of binary formats as
+    well, 3 also unpacking, 4 also the guard on the number of files, which ``files`` sets and which is
+    off by default, as a cluster may read any number. ``hint`` names a binary format or text.
+    """
+    found = scan(spark, *paths)
+    if files is not None and raw < 4:
+        found = capped(found, files)
+    if raw < 3:
+        rows = expand_blobs(found, limits, password)
     else:
-        rows = files.select("path", F.lit("").alias("part"), F.lit("").alias("hint"), "size", "content")
-    hint = F.coalesce(detect(F.col("content"), CONVERTERS), F.when(is_text(F.col("content")), "text"), F.lit(""))
+        rows = found.select("path", F.lit("").alias("part"), F.lit("").alias("hint"), "size", "content")
     wanted = [p.partition("!")[2] for p in paths if "!" in p]
-    rows = rows.withColumn("hint", hint)
     if wanted:
-        any_part = F.lit(False)
-        for part in wanted:
-            any_part = any_part | F.contains("path", F.lit(part))
-        rows = rows.where(any_part)
+        rows = rows.where(reduce(or_, [F.contains("path", F.lit(part)) for part in wanted]))
+    rows = rows.withColumn("hint", F.coalesce(detect(F.col("content"), CONVERTERS), F.when(is_text(F.col("content")), "text"), F.lit("")))
+    if raw < 2:
+        rows = convert(rows)
+    if raw < 1:
+        text = F.try_validate_utf8(F.decode("content", "UTF-8"))
+        laid = F.encode(formats.pretty(text), "UTF-8")
+        rows = rows.withColumn("content", F.when(F.col("hint").isin("text", "json"), laid).otherwise(F.col("content"))).withColumn("size", F.length("content").cast("long"))
     return first_per_path(rows)
 
 

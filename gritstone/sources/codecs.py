@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 # The magic numbers (name, offset, bytes), in the order in which they are tried.
 DEFLATES = [
     ("bgzf", 0, b"\x1f\x8b\x08\x04"), ("br", 0, b"\xce\xb2\xcf\x81"), ("bzip2", 0, b"BZh"), ("gzip", 0, b"\x1f\x8b\x08"), ("kanzi", 0, b"KANZ"), ("lz4", 0, b"\x04\x22\x4d\x18"),
@@ -143,7 +145,7 @@ def _zlib(data: bytes, most: int) -> bytes:
 INFLATE: dict[str, Callable[[bytes, int], bytes]] = {
     "bgzf": lambda d, m: _stream(gzip.GzipFile(fileobj=io.BytesIO(d)), m), "gzip": lambda d, m: _stream(gzip.GzipFile(fileobj=io.BytesIO(d)), m),
     "bzip2": lambda d, m: _stream(bz2.BZ2File(io.BytesIO(d)), m), "xz": lambda d, m: _stream(lzma.LZMAFile(io.BytesIO(d)), m), "lzip": _lzip, "lzw": _lzw, "zlib": _zlib, "zstd": _zstd,
-    "br": _optional("brotli", lambda lib, d: lib.decompress(d[4:])), "lz4": _optional("lz4.frame", lambda lib, d: lib.decompress(d)), "snappy": _optional("snappy", lambda lib, d: lib.StreamDecompressor().decompress(d)),
+    "br": _optional("brotli", lambda lib, d: lib.decompress(d[4:])), "lz4": blocks.lz4, "lzo": blocks.lzo, "snappy": blocks.snappy, "s2": blocks.snappy,
 }
 
 
@@ -267,6 +269,7 @@ def _members_xar(data: bytes, password: bytes | None, most: int) -> Iterator[tup
 #: How the members of each archive are listed; names that are missing are detected only.
 MEMBERS: dict[str, Callable[[bytes, bytes | None, int], Iterator[tuple[str, bytes]]]] = {
     "zip": _members_zip, "tar": _members_tar, "ar": _members_ar, "cpio": _members_cpio, "rpm": _members_rpm, "iso": _members_iso, "xar": _members_xar,
+    "7z": blocks.seven_zip, "cab": blocks.cabinet, "msi": blocks.compound,
 }
 
 
@@ -303,8 +306,9 @@ def expand(path: str, data: bytes, limits: Limits = Limits(), password: bytes |
         try:
             for member, body in MEMBERS[kind](content, password, limits.expansion * len(content)):
                 found.append((f"{name}!{member}", body, level + 1))
-        except Exception:  # noqa: BLE001  a broken archive gives the members before the break
-            pass
+        except Exception:  # noqa: BLE001  a broken archive gives the members before the break, or itself
+            if not found:
+                yield name, content
         todo += reversed(found)
 
 

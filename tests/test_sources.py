@@ -13,7 +13,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gritstone.functions.digests import NATIVE, OTHER, digest, digests, known_bad, known_good
+from gritstone.functions.digests import NATIVE, OTHER, digest, digests, known_bad, known_good, matching
 from gritstone.sources import binary, blobs, codecs, formats, sinks
 
 FOX = b"FOX\n0123 " + b"U" * 47 + b" 47!\nXOF"
@@ -123,6 +123,16 @@ def test_loading(spark, tmp_path):
     assert set(found) == {"/a.zip!x.txt", "/a.zip!y", "/deep/b.txt", "/empty"}
     assert bytes(found["/a.zip!x.txt"]["content"]) == FOX and found["/a.zip!x.txt"]["hint"] == "text" and found["/a.zip!y"]["hint"] == ""
     assert [x["path"].removeprefix(root) for x in blobs.load(spark, f"{root}/a.zip!x.txt").collect()] == ["/a.zip!x.txt"]
+    assert [x["path"].removeprefix(root) for x in blobs.load(spark, f"{root}/a.zip", raw=3).collect()] == ["/a.zip"]
+    (tmp_path / "in" / "t.mft").write_bytes(record(7, "notes.txt", [filetime(9)] * 4, [filetime(9)] * 4))
+    (tmp_path / "in" / "j.json").write_bytes(b'{"a":1}')
+    laid = {x["path"].removeprefix(root): x for x in blobs.load(spark, root, raw=0).collect()}
+    assert laid["/t.mft"]["hint"] == "json" and json.loads(laid["/t.mft"]["content"])["name"] == "notes.txt" and bytes(laid["/j.json"]["content"]) == b'{\n  "a": 1\n}'
+    assert "/a.zip" in {x["path"].removeprefix(root) for x in blobs.load(spark, root, raw=4, files=1).collect()}
+    with pytest.raises(ValueError):
+        blobs.load(spark, root, files=2)
+    (tmp_path / "in" / "t.mft").unlink()
+    (tmp_path / "in" / "j.json").unlink()
     assert blobs.scan(spark, f"{root}/**/*.txt").count() == 1
     assert blobs.within_depth(blobs.scan(spark, root), root, 0).count() == 2
     assert "content" not in blobs.paths_only(spark, root)._jdf.queryExecution().executedPlan().toString()
@@ -154,6 +164,8 @@ def test_digest_vectors(spark):
     data = spark.createDataFrame([(bytearray(x),) for x in (b"", b"abc", b"123456789")], "c binary")
     found = [x[0] for x in data.select(digests(F.col("c"), names)).collect()]
     assert all(len(x) == len(names) for x in found) and found[2]["CRC32-IEEE"] == "cbf43926" and found[1]["MD5"] == "900150983cd24fb0d6963f7d28e17f72"
+    some = data.select(matching(digests(F.col("c"), ["MD5", "CRC32-IEEE"]), "^9001")).collect()
+    assert [sorted(x[0]) for x in some] == [[], ["MD5"], []]
     with pytest.raises(ValueError):
         digests(F.col("c"), ["nope"])
 
