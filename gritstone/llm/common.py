@@ -62,14 +62,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan_bytes(df) < SMALL_BYTES else df
 
 
-def partitions_for(df: DataFrame, column: str, bytes_each: int) -> int:
-    """Shuffle partitions for ``df``: at least the session's, more where ``column`` holds more bytes.
+#: No shuffle has more partitions than this, whatever the input: beyond it the driver's books of them are the limit.
+MOST_PARTITIONS = 50_000
 
-    The bytes are counted, as the optimiser knows no size of tables in memory and guesses that of joins.
-    """
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(1, own, -(-int(size) // bytes_each))
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The bytes in ``column``, counted: the optimiser knows no size of tables in memory and guesses that of joins."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def partitions_for(spark: SparkSession, size: int, bytes_each: int) -> int:
+    """Shuffle partitions for ``size`` bytes: at least the session's, more where there is more."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, own, min(MOST_PARTITIONS, -(-size // bytes_each)))
 
 
 def map_batches(df: DataFrame, func: Callable, schema: str) -> DataFrame:
@@ -124,7 +129,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             nxt = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
             labels = materialise(labels.join(nxt, "to", "left").select("node", F.coalesce("further", "to").alias("to")), name)
         one = links.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
-        two = materialise(one.select(F.col("a2").alias("x"), F.col("b").alias("node")).where("x <> node or true"), name)
+        two = materialise(one.select(F.col("a2").alias("x"), F.col("b").alias("node")), name)
         moved = two.join(hooks, "node").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b")
         links = materialise(moved.distinct(), name)
     if labels is None:

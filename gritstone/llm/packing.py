@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, map_batches, materialise, pieces_of, ship, spread
+from .common import MOST_PARTITIONS, encoder, map_batches, materialise, pieces_of, ship, spread
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 #: Pieces in a partition, on average.
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": ((F.lit(127 << 56)).bitwiseOR(F.monotonically_increasing_id())), "offset": F.lit(0).cast("long")})
     pool, done, turn = pieces.where(F.col("length") < capacity), [whole.select(names)], 0
-    parts = max(1, -(-pool.count() // each))
+    parts = min(MOST_PARTITIONS, max(1, -(-pool.count() // each)))
     while True:
         packed = materialise(_pack(pool, parts, turn, capacity), f"packed{turn}")
         done.append(packed.where("closed").select(names))

@@ -26,9 +26,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions_for, pieces_of, raw_bytes, ship, spread
+from .common import map_batches, partitions_for, pieces_of, raw_bytes, ship, spread, text_bytes
 
-#: Bytes of text for each shuffle partition, and buckets in a partition.
+#: Bytes of text for each shuffle partition, and buckets in as much text.
 BYTES_EACH, BUCKETS_EACH = 16 << 20, 4
 #: Windows of one super-k-mer at most, so that text that repeats itself is cut into equal strings.
 LONGEST = 64
@@ -216,8 +216,9 @@ def _runs(doc, start, end):
 def repeated_windows(docs: DataFrame, window: int = 20, grain: int = 4) -> DataFrame:
     """(doc_id, first, last): runs of windows whose words also start earlier."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = partitions_for(docs, "text", BYTES_EACH)
-    blocks = _blocks(docs, window, grain, parts * BUCKETS_EACH)
+    size = text_bytes(docs)
+    parts = partitions_for(docs.sparkSession, size, BYTES_EACH)
+    blocks = _blocks(docs, window, grain, parts * max(BUCKETS_EACH, -(-size * BUCKETS_EACH // (parts * BYTES_EACH))))
 
     def emit(spans):
         import pyarrow as pa

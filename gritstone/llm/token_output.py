@@ -26,6 +26,8 @@ from .common import encoder, map_batches, materialise, pieces_of, ship, spread
 
 #: Longest code in bits, tokens between checkpoints, tokens of a block and of a file.
 LIMIT, STEP, BLOCK_TOKENS, FILE_TOKENS = 16, 64, 1 << 17, 1 << 22
+#: Files at most: their first doc_ids go to every task.
+MOST_FILES = 100_000
 BLOCKS = "file long, block long, payload binary"
 
 
@@ -197,6 +199,8 @@ def file_starts(rows: DataFrame, file_tokens: int) -> list[tuple[int, int]]:
         return []
     from pyspark.sql import Window
 
+    # at most so many files as a task can look up at once; beyond that the files grow
+    file_tokens = max(file_tokens, -(-before // MOST_FILES))
     base = spark.createDataFrame(places, "part int, before long")
     running = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = dealt.join(F.broadcast(base), "part").withColumn("start", F.col("before") + F.coalesce(running, F.lit(0)))
