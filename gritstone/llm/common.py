@@ -43,12 +43,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete what :func:`materialise` has written for results that are no longer read."""
+def written(spark: SparkSession) -> list[str]:
+    """The tables that :func:`materialise` has written so far and that are still there."""
+    return list(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that :func:`materialise` has written, once no result reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        if path in (own := _written.get(spark.sparkContext.applicationId, [])):
+            own.remove(path)
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -77,6 +84,19 @@ def partitions_for(spark: SparkSession, size: int, bytes_each: int) -> int:
     return max(1, own, min(MOST_PARTITIONS, -(-size // bytes_each)))
 
 
+def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most about ``most`` rows, chosen by a hash of ``columns`` below a threshold.
+
+    The same rows whatever the partitions, and each task sends only what is chosen; the first rows in
+    an order would send ``most`` from every task. The threshold leaves room for chance.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    span = 1 << 40
+    return df.where(F.pmod(F.xxhash64(*columns, F.lit(5)), F.lit(span)) < int(span * 0.95 * most / n))
+
+
 def map_batches(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with ``func(batch) -> iterable of batches`` and this package shipped."""
     ship(df.sparkSession)
