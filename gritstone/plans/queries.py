@@ -604,7 +604,7 @@ def expand_archives(spark, sf_dir):
     return files.select("path", "size", F.sha2("content", 256).alias("sha256"))
 
 
-@query("""WITH cut AS (SELECT doc_id, text, list_filter(range(0, length(text) + 1), lambda k: strlen(substr(text, 1, k)) <= 100 AND k <= 100) AS fits FROM documents WHERE text IS NOT NULL)
+@query("""WITH cut AS (SELECT doc_id, text, list_filter(range(0, least(length(text), 100) + 1), lambda k: strlen(substr(text, 1, k)) <= 100) AS fits FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, substr(text, 1, fits[-1]) AS text FROM cut""")
 def truncate_bytes(spark, sf_dir):
     return documents(spark, sf_dir).where("text is not null").select("doc_id", scalars.truncate(F.col("text"), 100).alias("text"))
