@@ -8,7 +8,7 @@ the same way. A document's score is the logistic function of an intercept and on
 table, done for whole columns at a time.
 
 The model is fitted on the driver to a bounded sample of labelled rows: at most ``SAMPLE`` of them,
-the first in the order of a hash of doc_id. Held-out rows (crc32 of the doc_id as text, modulo 4, is
+those whose hash of doc_id is below a threshold. Held-out rows (crc32 of the doc_id as text, modulo 4, is
 2) are never among them. Everything else runs over all documents.
 
 Defined cases: a null text is an empty one and gets a score; a null doc_id is never a training row
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, pieces_of, ship, spread
+from .common import hash_sample, map_batches, materialise, pieces_of, ship, spread
 
 #: Labelled rows to fit on, at most; bins of a feature and of a feature within a pair.
 SAMPLE, BINS, PAIR_BINS = 40_000, 48, 12
@@ -171,7 +171,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     rows = materialise(feature_rows(docs), "features")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    train = rows.join(known, "doc_id").where(part != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features", "quality").collect()
+    marked = materialise(rows.join(known, "doc_id").where(part != 2), "marked")
+    train = sorted(hash_sample(marked, sample, "doc_id").select("doc_id", "features", "quality").collect())
     x = np.array([r["features"] for r in train], float).reshape(len(train), 2 + len(RATIOS))
     model = fit(x, np.array([r["quality"] for r in train], float))
     ship(spark)
