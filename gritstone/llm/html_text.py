@@ -26,7 +26,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, spread
+from .common import hash_sample, map_batches, ship, spread
 
 #: Elements that hold no text of the page; that are furniture; that hold the article; that end a block.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title"}
@@ -180,9 +180,9 @@ def page_bounds(pages: DataFrame, each: int) -> list[tuple[str, str, int]]:
     ranges = min(-(-n // each), SAMPLE // 4)
     if ranges <= 1:
         return []
-    drawn = pages.select("url", "page_id").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(min(SAMPLE, ranges * 32))
+    drawn = hash_sample(pages.select("url", "page_id"), min(SAMPLE, ranges * 32), "url", "page_id")
     keys = sorted((*url_key(x["url"]), x["page_id"] or 0) for x in drawn.collect())
-    return [keys[len(keys) * k // ranges] for k in range(1, ranges)]
+    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
 
 def extract(pages: DataFrame, each: int = EACH) -> DataFrame:
