@@ -23,9 +23,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, materialise, pieces_of, raw_bytes, ship, spread
+from .common import components, hash_sample, map_batches, materialise, pieces_of, raw_bytes, ship, spread
 
-#: Fingerprints of the sample that shapes the tree, at most; one in SAMPLE_OF is taken at most.
+#: Fingerprints of the sample that shapes the tree, at most, and one in SAMPLE_OF at most where there are many.
 SAMPLE, SAMPLE_OF = 32_768, 8
 #: Nodes of a shard, on average, where the sample suffices; and of a set compared directly.
 SHARD, SMALL = 2_000, 48
@@ -197,8 +197,7 @@ def shard_edges(nodes: DataFrame, reach: int) -> DataFrame:
     """(a, b) edges among ``nodes`` (node, print) whose components are those of all close pairs."""
     spark = nodes.sparkSession
     count = nodes.count()
-    taken = nodes.where(F.pmod(F.xxhash64("print", F.lit(3)), F.lit(SAMPLE_OF)) == 0)
-    sample = [x[0] for x in taken.orderBy(F.xxhash64("print", F.lit(5)), "print").limit(SAMPLE).select("print").collect()]
+    sample = [x[0] for x in hash_sample(nodes, max(64, min(SAMPLE, count // SAMPLE_OF)), "print").select("print").collect()]
 
     import numpy as np
 
