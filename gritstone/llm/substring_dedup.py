@@ -78,7 +78,7 @@ def _pack(strings: list[bytes], docs: list[int], starts: list[int], spans: list[
 
     head = np.array([len(strings), len(spans)], np.int64).tobytes()
     parts = [np.array(docs, np.int64).tobytes(), np.array(starts, np.int32).tobytes(), np.array(spans, np.int64).tobytes(), b"\n".join(strings)]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _unpack(payload: bytes):
@@ -213,7 +213,7 @@ def _runs(doc, start, end):
     return np.stack([doc[at], start[at], np.maximum.reduceat(end, at)], axis=1)
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, grain: int = 4) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, grain: int = 3) -> DataFrame:
     """(doc_id, first, last): runs of windows whose words also start earlier."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = text_bytes(docs)
@@ -266,7 +266,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, grain: int = 4) -> DataF
     return dealt.mapInArrow(run, "doc_id long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, grain: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, grain: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     runs = repeated_windows(docs, window, grain)
