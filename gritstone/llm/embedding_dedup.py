@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, materialise, ship
+from .common import components, hash_sample, map_batches, materialise, ship
 from .simhash import Forest
 
 #: Coordinates of a block, vectors of a shard on average, and vectors of the sample at most.
@@ -161,7 +161,7 @@ def near_duplicates(table: DataFrame, least: float = 0.93, width: int = WIDTH, e
     vectors = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
     classes = materialise(classes_of(vectors), "classes")
     count = classes.count()
-    drawn = classes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(max(64, min(SAMPLE, count // 4))).select("label", "embedding").collect()
+    drawn = sorted(hash_sample(classes, max(64, min(SAMPLE, count // 4)), "node").select("node", "label", "embedding").collect())
     by: dict = {}
     for x in drawn:
         by.setdefault((x["label"], len(x["embedding"])), []).append(x["embedding"])
