@@ -36,13 +36,15 @@ def grep_context(texts: DataFrame, key: str, pattern: str, before: int = 0, afte
     Overlapping neighbourhoods repeat their lines, one copy per group. The lines of a text are one
     array, so the neighbourhoods are slices of it and neither a join nor a shuffle is needed.
     """
-    whole = texts.select(F.col(key), split_lines(F.col(text)).alias("lines"))
-    places = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: F.rlike(F.get("lines", k - 1), F.lit(pattern)))
-    hits = whole.where(F.size("lines") > 0).withColumn("hits", places)
-    groups = hits.select(key, "lines", F.posexplode("hits").alias("grp", "hit"))
-    first, last = F.greatest(F.lit(1), F.col("hit") - before), F.least(F.size("lines"), F.col("hit") + after)
-    rows = groups.select(key, (F.col("grp") + 1).cast("long").alias("grp"), F.explode(F.sequence(first, last)).alias("line"), "lines")
-    return rows.select(key, "grp", F.col("line").cast("long").alias("line"), F.get("lines", F.col("line") - 1).alias("text"))
+    # exploding an array of one array splits each text once; inlined, it would be split for every line
+    whole = texts.select(F.col(key), F.explode(F.array(split_lines(F.col(text)))).alias("lines"))
+    numbered = F.transform("lines", lambda x, k: F.when(F.rlike(x, F.lit(pattern)), k + 1))
+    hits = whole.select(key, "lines", F.explode(F.array(F.filter(numbered, lambda k: k.isNotNull()))).alias("hits"))
+    first = lambda hit: F.greatest(F.lit(1), hit - before)
+    part = lambda hit, k: F.struct((k + 1).alias("grp"), first(hit).alias("first"), F.slice("lines", first(hit), hit + after - first(hit) + 1).alias("part"))
+    groups = hits.select(key, F.explode(F.transform("hits", part)).alias("group"))
+    rows = groups.select(key, "group.grp", "group.first", F.posexplode("group.part").alias("at", "text"))
+    return rows.select(key, F.col("grp").cast("long").alias("grp"), (F.col("first") + F.col("at")).cast("long").alias("line"), "text")
 
 
 def mark_groups(rows: DataFrame, key: str) -> DataFrame:
