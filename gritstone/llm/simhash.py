@@ -239,7 +239,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame
 
 def keep_first(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame:
     """One row of ``docs`` for each group, that with the smallest doc_id; rows without doc_id stay."""
-    groups = near_duplicates(docs, size, reach)
+    return first_of(docs, near_duplicates(docs, size, reach))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name a group of ``groups`` (doc_id, component_id); rows without doc_id stay."""
     named = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     kept = docs.join(named.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not named.where("n > 1").isEmpty():

@@ -320,6 +320,35 @@ def test_vantage_point_trees_lose_no_pair(spark):
     assert [labels.get(k, k) for k in range(len(prints))] == want.tolist()
 
 
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypatch):
+    import corpus_pipeline
+
+    from gritstone.llm import jaccard_dedup
+
+    rng, rows = random.Random(21), []
+    for k in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((5, 40, 150, 400)))]
+        rows.append((k, " ".join(w)))
+        for copy in range(1, 4):
+            x = list(w)
+            for at in rng.sample(range(len(x)), rng.randint(0, len(x) // 30)):
+                x[at] = f"new{rng.randrange(10**6)}"
+            rows.append((k + 100 * copy, "  ".join(x).upper()))
+    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two Words"), (904, "w"), (None, rows[0][1]), (0, rows[0][1])]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words((t or "").lower())) else set() for d, t in rows if d is not None}
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    close = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    texts = dict(rows)
+    assert sum((brute_print(texts[a]) ^ brute_print(texts[b])).bit_count() > 2 for a, b in close) > 20
+    up = smallest(set(sets), close)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (4096, 2):
+        monkeypatch.setattr(jaccard_dedup, "TILE", tile)
+        kept = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, [*{v for v in up.values()}, None]))
+    assert jaccard_dedup.keep_first(none).count() == 0
+
+
 def test_components_of_hard_shapes(spark):
     path = [(k, k + 1) for k in range(0, 40)]
     star = [(1000, k) for k in range(900, 960)]
