@@ -5,8 +5,9 @@ A page is parsed into blocks of text in page order, each with what the markup sa
 nothing. Pages of a host are put in order of their URL path, and each is paired with the neighbour
 whose path shares more leading segments. The pair's lines are aligned by longest common
 subsequence, and lines that both have are the host's template and deleted; lines that the markup
-names as article text are kept even so, as copies of an article are no template. A page with
-article markup has no other text; one without keeps what is neither furniture nor shared.
+names as article text are kept even so, as copies of an article are no template. Of all other
+lines, a page keeps what is neither furniture nor shared, whether or not it has article markup. Only
+where no neighbour has any line to compare does article markup, if there is any, decide alone.
 
 Pages are dealt out by ranges of (host, path) whose bounds come from a bounded hash sample of the
 URLs and depend on the table alone, so that a host with a third of all pages spreads over many
@@ -170,7 +171,8 @@ def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bo
     """The page's text, given its blocks and those of the page it is paired with."""
     template = shared([x[0] for x in own], [x[0] for x in other]) if other else [False] * len(own)
     in_article = any(article and not furniture for _, furniture, article in own)
-    kept = [text for (text, furniture, article), common in zip(own, template, strict=True) if not furniture and (article if in_article else not common)]
+    alone = in_article and not other
+    kept = [text for (text, furniture, article), common in zip(own, template, strict=True) if not furniture and (article or not (common or alone))]
     return "\n\n".join(kept)
 
 

@@ -523,6 +523,12 @@ def test_html(spark):
     assert len(small) >= 8 and html_text.extract(table.limit(0)).count() == 0
 
 
+def test_html_differencing_decides_beside_article_markup(spark):
+    page = "<body><div>site name</div><article>teaser {0}</article><div>body {0}</div><nav>menu {0}</nav><p>end {0}</p><div>all rights</div></body>"
+    table = spark.createDataFrame([(k, f"http://a.example/p/{k}", page.format(k)) for k in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(table).collect()} == {k: f"teaser {k}\n\nbody {k}\n\nend {k}" for k in range(3)}
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     import corpus_pipeline
 
