@@ -229,7 +229,16 @@ def _journal_field(data: bytes, at: int, compact: bool) -> bytes | None:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(body)
-    return None if flags & 2 else body
+    if flags & 2:
+        from .blocks import lz4_block
+
+        # the unpacked size, then one bare block
+        out = bytearray()
+        lz4_block(body[8:], out)
+        if len(out) != struct.unpack_from("<Q", body)[0]:
+            raise ValueError("broken LZ4 field")
+        return bytes(out)
+    return body
 
 
 #: What turns each format into rows; formats that are missing are detected only.

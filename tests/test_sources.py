@@ -289,3 +289,14 @@ def test_parquet_and_receipt(spark, tmp_path):
     assert out[0] == out[2] == 3 and isinstance(out[1], ZeroDivisionError)
     with pytest.raises(ValueError):
         sinks.check_options("http://x", None)
+
+
+def test_journal_fields_packed_with_lz4():
+    import struct
+
+    from gritstone.sources import binary
+
+    packed = struct.pack("<Q", 28) + b"\x9fMESSAGE=a\x01\x00\x00"  # nine letters, the last one 19 times more
+    for head, compact in ((64, False), (72, True)):
+        data = b"\0" * 8 + bytes([1, 2]) + b"\0" * 6 + struct.pack("<Q", head + len(packed)) + b"\0" * (head - 16) + packed
+        assert binary._journal_field(data, 8, compact) == b"MESSAGE=" + b"a" * 20
