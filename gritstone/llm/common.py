@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.tables import spread
 
-#: Input below this many bytes is dealt out anew over the cores, as one file may be one task.
-SMALL_BYTES = 64 << 20
+__all__ = ["components", "drop_tables", "encoder", "hash_sample", "look_up", "map_batches", "materialise", "partitions_for", "pieces_of", "raw_bytes", "shared_folder", "ship", "spread", "text_bytes", "written"]
 
 _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share, ``spark.checkpoint.dir``; a temporary one only in local mode, which is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gritstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(__import__("shutil").rmtree, folder, True)
@@ -58,17 +60,6 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
             own.remove(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of ``df``, which runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out over all cores; a large one already has a task for each split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < SMALL_BYTES else df
-
-
 #: No shuffle has more partitions than this, whatever the input: beyond it the driver's books of them are the limit.
 MOST_PARTITIONS = 50_000
 
@@ -131,27 +122,59 @@ def raw_bytes(column) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: A key of a table that more than one row in so many has is hot: fewer than this many keys are.
+HOT_OF = 5_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, count: str = "n_rows", how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each ``key`` once and in ``count`` how many rows hold it.
+
+    Keys with more than one row in ``HOT_OF`` are under ``HOT_OF`` rows of ``table``, whatever its size; they are
+    broadcast. No other key is more than that share of a shuffle, so no task depends on the skew of the keys.
+    """
+    total = int(table.agg(F.sum(count)).first()[0] or 0)
+    hot = table.where(F.col(count) * HOT_OF > total)
+    names = [x for x in table.columns if x not in (key, count)]
+    if hot.isEmpty():
+        return rows.join(table.select(key, *names), key, how)
+    near = rows.join(F.broadcast(hot.select(key, *names)), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return near.unionByName(far.join(table.where(F.col(count) * HOT_OF <= total).select(key, *names), key, how))
+
+
+def rooted(hooks: DataFrame, name: str) -> DataFrame:
+    """The root of every node of a forest (node, to), a root being its own ``to``: each turn halves all ways."""
+    while True:
+        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        jumped = materialise(hooks.join(up, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")), name)
+        hooks = jumped.select("node", "to")
+        if jumped.where("moved").isEmpty():
+            return hooks
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable for every node of ``edges`` (a, b).
 
-    Each round hooks every node to its smallest neighbour and contracts; a hub is never gathered,
-    as the minimum is combined before the shuffle. Every round is a written table, so neither the
-    lineage nor the driver holds links.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots by pointer
+    jumping and contracts. A round at least halves the nodes of each group and a path of n hooks takes
+    log2(n) turns, so a long path costs few tables. A hub is never gathered, as the minimum is combined
+    before the shuffle. Every step is a written table, so neither the lineage nor the driver holds links.
     """
     both = edges.where("a <> b").select("a", "b")
     links = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = None
     while not links.isEmpty():
-        hooks = materialise(links.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), name)
+        hooks = links.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
+        hooks = rooted(materialise(hooks, name), name)
+        one = links.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
+        two = one.select(F.col("a2").alias("x"), F.col("b").alias("node")).distinct()
+        moved = two.join(hooks, "node").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b")
+        links = materialise(moved.distinct(), name)
         if labels is None:
             labels = hooks
         else:
             nxt = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
             labels = materialise(labels.join(nxt, "to", "left").select("node", F.coalesce("further", "to").alias("to")), name)
-        one = links.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
-        two = materialise(one.select(F.col("a2").alias("x"), F.col("b").alias("node")), name)
-        moved = two.join(hooks, "node").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b")
-        links = materialise(moved.distinct(), name)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     return labels.select("node", F.col("to").alias("component"))
