@@ -1,19 +1,25 @@
 """Near-duplicates by SimHash, linked through vantage-point trees.
 
 A document's 64-bit fingerprint has a bit set where over half of its word shingles' XXH64 hashes
-(repeats included) have it. Equal fingerprints collapse to one node, named by the smallest doc_id.
-A vantage-point tree, drawn from a bounded hash sample of the fingerprints, deals the nodes out:
-each node has one home shard, and where it lies within the radius of a boundary on the inner side it
-also visits the outer shards; by the triangle inequality every pair within the radius then meets in
-one shard, one of the two at home. A shard goes on splitting by vantage points in memory until small
-sets are left, which are compared exactly. It returns one edge per node to the smallest node
-of its local group, never pairs. The components of these edges are the groups.
+(repeats included) have it. Equal fingerprints collapse to one node. A vantage-point tree deals the
+nodes out: each node has one home shard, and where it lies within the radius of a boundary on the
+inner side it also visits the outer shards; by the triangle inequality every pair within the radius
+then meets in one shard, one of the two at home. The tree is drawn from a bounded hash sample, and
+where the leaves would then hold more than a shard, each grows a tree of its own from a sample that
+follows the input, one task a leaf; only the vantage points reach the driver. Shards with many
+visitors are cut into pieces, each with all that are at home, so a task is bounded at any input. A
+shard goes on splitting by vantage points in memory until small sets are left, which are compared
+exactly. It returns one edge per node to the smallest node of its local group, never pairs. The
+components of these edges are the groups.
+
+A radius of a few bits is what the bounds can prune. :func:`keep_first` therefore also takes a
+``similarity`` instead: groups then come from exact sets of shingles, see :mod:`.jaccard_dedup`.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; texts
-shorter than a shingle are hashed whole; repeated rows are returned as often as they occur; a row
-whose doc_id is null keeps its fingerprint and joins its group, but names none (component_id is
-null where all rows of a group have none); an empty table gives an empty result; other columns are
-ignored.
+shorter than a shingle are hashed whole; repeated rows are returned as often as they occur; rows that
+repeat a doc_id with another text are documents of their own; a row whose doc_id is null keeps its
+fingerprint and joins its group, but names none (component_id is null where all rows of a group have
+none); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +29,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_sample, map_batches, materialise, pieces_of, raw_bytes, ship, spread
+from .common import components, hash_sample, look_up, map_batches, materialise, pieces_of, raw_bytes, ship, spread
 
 #: Fingerprints of the sample that shapes the tree, at most, and one in SAMPLE_OF at most where there are many.
 SAMPLE, SAMPLE_OF = 32_768, 8
-#: Nodes of a shard, on average, where the sample suffices; and of a set compared directly.
-SHARD, SMALL = 2_000, 48
+#: Nodes at home in a shard at least and at most, visitors of a piece of it, and nodes of a set compared directly.
+LEAST, SHARD, VISITORS, SMALL = 2_000, 65_536, 400_000, 48
+#: Sampled nodes for each leaf that a tree is to have.
+LEAF_SAMPLE = 16
 
 
 def fingerprint(text: bytes | None, size: int) -> int:
@@ -62,7 +70,7 @@ _PLACES, _BITS = _bit_tables()
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, print): the fingerprint of every row as a signed 64-bit number."""
+    """(doc_id, text_key, print): every row's fingerprint as a signed 64-bit number, and a hash of its text."""
 
     def run(batch) -> Iterator:
         import numpy as np
@@ -70,9 +78,10 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
         for part in pieces_of(batch, "text", 16 << 20):
             prints = np.array([fingerprint(x, size) for x in raw_bytes(part.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(prints)], names=["doc_id", "text_key", "print"])
 
-    return map_batches(spread(docs.select(F.col("doc_id").cast("long"), "text")), run, "doc_id long, print long")
+    given = spread(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text_key", F.xxhash64("text"))
+    return map_batches(given, run, "doc_id long, text_key long, print long")
 
 
 def _split(prints, rng):
@@ -193,59 +202,150 @@ def link_within(prints, home, reach: int, small: int = SMALL, seed: int = 11) ->
     return forest
 
 
-def shard_edges(nodes: DataFrame, reach: int) -> DataFrame:
-    """(a, b) edges among ``nodes`` (node, print) whose components are those of all close pairs."""
-    spark = nodes.sparkSession
-    count = nodes.count()
-    sample = [x[0] for x in hash_sample(nodes, max(64, min(SAMPLE, count // SAMPLE_OF)), "print").select("print").collect()]
-
+def graft(tree: list, leaves: dict[int, list]) -> list:
+    """``tree`` with some of its shards replaced by trees; the shards are numbered anew."""
+    out, shards = [list(x) for x in tree], 0
+    for x in out:
+        for side in (2, 3):
+            if x[side] < 0 and -x[side] - 1 in leaves:
+                x[side] = (-x[side] - 1, "leaf")
+    if not out:
+        out = [list(x) for x in leaves.get(0, [])]
+    else:
+        for k in range(len(tree)):
+            for side in (2, 3):
+                if isinstance(out[k][side], tuple):
+                    own, base = leaves[out[k][side][0]], len(out)
+                    out[k][side] = base
+                    out += [[v, r, a + base if a >= 0 else a, b + base if b >= 0 else b] for v, r, a, b in own]
+    for x in out:
+        for side in (2, 3):
+            if x[side] < 0:
+                shards += 1
+                x[side] = -shards
+    return out
+
+
+def vantage_tree(nodes: DataFrame, count: int, each: int) -> list:
+    """A tree over ``nodes`` (print) whose shards are home to about ``each``, whatever their number is.
+
+    The driver draws the first tree from at most ``SAMPLE`` nodes. Where it has too few leaves for so many
+    nodes, a sample of ``LEAF_SAMPLE`` nodes for each shard wanted goes to the leaves, each of which is a task.
+    """
     import numpy as np
 
+    sample = [x[0] for x in hash_sample(nodes, max(64, min(SAMPLE, count // SAMPLE_OF)), "print").select("print").collect()]
     drawn = np.array(sorted(sample), np.int64).view(np.uint64)
-    tree = grow(drawn, max(16, len(drawn) * SHARD // max(count, 1)))
+    tree = grow(drawn, max(LEAF_SAMPLE, len(drawn) * each // max(count, 1)))
+    if count * LEAF_SAMPLE <= len(drawn) * each or len(drawn) == count:
+        return tree
+    held = nodes.sparkSession.sparkContext.broadcast(tree)
+
+    def home(batch) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        row, shard, own = route(held.value, batch.column("print").to_numpy().view(np.uint64), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[own], pa.int32()), batch.column("print").take(pa.array(row[own]))], names=["leaf", "print"])
+
+    def split(table):
+        import numpy as np
+        import pyarrow as pa
+
+        own = grow(np.sort(table.column("print").to_numpy()).view(np.uint64), LEAF_SAMPLE)
+        flat = np.array([(np.uint64(v).view(np.int64), r, a, b) for v, r, a, b in own], np.int64).reshape(-1, 4)
+        return pa.table({"leaf": table.column("leaf").slice(0, 1), "tree": pa.array([flat.ravel().tolist()], pa.list_(pa.int64()))})
+
+    some = hash_sample(nodes.select("print"), count // each * LEAF_SAMPLE, "print")
+    grown = map_batches(some, home, "leaf int, print long").groupBy("leaf").applyInArrow(split, "leaf int, tree array<long>").collect()
+    leaves = {x["leaf"]: [[int(np.int64(v).view(np.uint64)), r, a, b] for v, r, a, b in zip(*[iter(x["tree"])] * 4, strict=True)] for x in grown if x["tree"]}
+    return graft(tree, leaves)
+
+
+def shard_edges(nodes: DataFrame, reach: int, each: int | None = None) -> DataFrame:
+    """(a, b) edges among the distinct fingerprints of ``nodes`` (print) whose components are those of all close pairs."""
+    spark = nodes.sparkSession
+    count = nodes.count()
+    each = each or max(LEAST, min(SHARD, count // (4 * spark.sparkContext.defaultParallelism)))
     ship(spark)
+    tree = vantage_tree(nodes, count, each)
     shared = spark.sparkContext.broadcast(tree)
 
     def deal(batch) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        prints = batch.column("print").to_numpy().view(np.uint64)
-        row, shard, home = route(shared.value, prints, reach)
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), batch.column("print").take(pa.array(row)), pa.array(shard, pa.int32()), pa.array(home)], names=["node", "print", "shard", "home"])
+        row, shard, home = route(shared.value, batch.column("print").to_numpy().view(np.uint64), reach)
+        yield pa.RecordBatch.from_arrays([batch.column("print").take(pa.array(row)), pa.array(shard, pa.int32()), pa.array(home)], names=["print", "shard", "home"])
+
+    dealt = materialise(map_batches(nodes.select("print"), deal, "print long, shard int, home boolean"), "dealt")
+    # a number for each shard with more visitors than one task takes: fewer than there are shards
+    crowded = {x["shard"]: -(-x["n"] // VISITORS) for x in dealt.where("not home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > VISITORS).collect()}
+    if crowded:
+        pieces = F.broadcast(spark.createDataFrame(list(crowded.items()), "shard int, pieces long"))
+        cut = dealt.join(pieces, "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
+        own = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+        dealt = cut.withColumn("piece", F.explode(F.when(F.col("home"), own).otherwise(F.array(F.pmod(F.xxhash64("print"), F.col("pieces")))))).drop("pieces")
+    else:
+        dealt = dealt.withColumn("piece", F.lit(0).cast("long"))
 
     def link(table):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("node")
-        node = table.column("node").to_numpy()
-        forest = link_within(table.column("print").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), reach)
-        root = forest.roots(np.arange(len(node)))
-        other = root != np.arange(len(node))
-        return pa.table({"a": node[root[other]], "b": node[other]})
+        table = table.sort_by("print")
+        prints = table.column("print").to_numpy()
+        forest = link_within(prints.view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), reach)
+        root = forest.roots(np.arange(len(prints)))
+        other = root != np.arange(len(prints))
+        return pa.table({"a": prints[root[other]], "b": prints[other]})
 
-    return map_batches(nodes, deal, "node long, print long, shard int, home boolean").groupBy("shard").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("shard", "piece").applyInArrow(link, "a long, b long")
+
+
+def name_groups(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id, ``key``, …) with ``grp``, the smallest key reachable by ``edges``, and its smallest doc_id."""
+    keys = materialise(rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "keys")
+    labels = components(edges)
+    named = materialise(keys.join(labels.withColumnRenamed("node", key), key, "left").withColumn("grp", F.coalesce("component", key)).drop("component"), "named")
+    groups = materialise(named.groupBy("grp").agg(F.min("least").alias("component_id"), F.count("*").alias("n_keys")), "groups")
+    told = materialise(look_up(named, groups, "grp", "n_keys").select(key, "n_rows", "grp", "component_id"), "told")
+    return look_up(rows, told, key)
+
+
+def linked(docs: DataFrame, size: int, reach: int) -> DataFrame:
+    """doc_id, text_key, print, grp and component_id of every row of ``docs``."""
+    rows = materialise(fingerprints(docs, size), "prints")
+    nodes = materialise(rows.select("print").distinct(), "nodes")
+    return name_groups(rows, shard_edges(nodes, reach), "print")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame:
     """doc_id, fingerprint and component_id for every row of ``docs``."""
-    prints = materialise(fingerprints(docs, size), "prints")
-    groups = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
-    labels = components(shard_edges(groups.where("node is not null").select("node", "print"), reach))
-    named = materialise(groups.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "named")
-    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return linked(docs, size, reach).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 3, reach: int = 2, similarity: float | None = None) -> DataFrame:
+    """One row of ``docs`` for each group, that with the smallest doc_id and hash of its text; rows without doc_id stay.
 
+    Groups are of fingerprints within ``reach`` bits or, with a ``similarity``, of sets of shingles that are so similar.
+    """
+    if similarity is None:
+        return first_of(docs, linked(docs, size, reach))
+    from . import jaccard_dedup
 
-def keep_first(docs: DataFrame, size: int = 3, reach: int = 2) -> DataFrame:
-    """One row of ``docs`` for each group, that with the smallest doc_id; rows without doc_id stay."""
-    return first_of(docs, near_duplicates(docs, size, reach))
+    return first_of(docs, jaccard_dedup.linked(docs, size, similarity))
 
 
-def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name a group of ``groups`` (doc_id, component_id); rows without doc_id stay."""
-    named = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    kept = docs.join(named.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not named.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+def first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The row of ``docs`` that names each group of ``rows`` (doc_id, text_key, grp, component_id); rows without doc_id stay."""
+    rows = materialise(rows.where("doc_id = component_id").groupBy("grp", "doc_id", "text_key").agg(F.count("*").alias("n")), "heads")
+    first = rows.groupBy("grp", "doc_id").agg(F.min("text_key").alias("text_key"))
+    chosen = materialise(rows.join(first, ["grp", "doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "n"), "chosen")
+    same = lambda x: (docs["doc_id"].cast("long") == x["doc_id"]) & (F.xxhash64(docs["text"]) == x["text_key"])
+    kept = docs.join(chosen, same(chosen), "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        # equal rows: one of them, chosen among these only
+        once, often = chosen.where("n = 1"), chosen.where("n > 1")
+        kept = docs.join(once, same(once), "left_semi").unionByName(docs.join(often, same(often), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where("doc_id is null"))

@@ -292,7 +292,16 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_vantage_point_trees_lose_no_pair(spark):
+@pytest.mark.parametrize("options", [{}, {"size": 5, "similarity": 0.8}])
+def test_rows_that_share_a_doc_id_stay_apart(spark, options):
+    rng = random.Random(5)
+    one, two, three = (prose(rng, 120) for _ in range(3))
+    rows = [(1, one), (1, one), (1, two), (2, two), (3, three), (None, three), (4, one), (5, None), (5, three)]
+    found = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()]
+    assert len(found) == 5 and set(found) == {(None, three), (1, one), (1, two), (3, three), (5, None)}
+
+
+def test_vantage_point_trees_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     prints[1500:] = prints[:1500]
@@ -315,14 +324,35 @@ def test_vantage_point_trees_lose_no_pair(spark):
         roots = simhash.link_within(prints[inside], home[shard == s], 2).roots(np.arange(len(inside)))
         got.join(inside, inside[roots])
     assert (got.roots(np.arange(len(prints))) == want).all()
-    nodes = spark.createDataFrame([(k, int(p)) for k, p in enumerate(prints.view(np.int64).tolist())], "node long, print long")
-    labels = {r["node"]: r["component"] for r in common.components(simhash.shard_edges(nodes, 2)).collect()}
-    assert [labels.get(k, k) for k in range(len(prints))] == want.tolist()
+    signed = prints.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(p,) for p in signed], "print long")
+    groups = collections.defaultdict(set)
+    for p, root in zip(signed, want.tolist()):
+        groups[root].add(p)
+    expected = {frozenset(x) for x in groups.values() if len(x) > 1}
+    # the driver's tree alone; trees grown anew in its leaves; shards cut by their visitors
+    for sample, each, visitors in ((simhash.SAMPLE, 100, simhash.VISITORS), (64, 60, simhash.VISITORS), (64, 60, 50)):
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        monkeypatch.setattr(simhash, "VISITORS", visitors)
+        labels = collections.defaultdict(set)
+        for r in common.components(simhash.shard_edges(nodes, 2, each)).collect():
+            labels[r["component"]].add(r["node"])
+        assert {frozenset(x) for x in labels.values()} == expected
+    tree = simhash.vantage_tree(nodes, len(prints), 60)
+    row, shard, home = simhash.route(tree, prints, 2)
+    assert len(tree) > 25 and sorted(row[home]) == list(range(len(prints))) and np.bincount(shard[home]).max() < 400
 
 
-def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypatch):
-    import corpus_pipeline
+def shingle_set(text, size=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
 
+
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypatch):
     from gritstone.llm import jaccard_dedup
 
     rng, rows = random.Random(21), []
@@ -335,8 +365,7 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypat
                 x[at] = f"new{rng.randrange(10**6)}"
             rows.append((k + 100 * copy, "  ".join(x).upper()))
     rows += [(900, None), (901, " "), (902, "two words"), (903, "Two Words"), (904, "w"), (None, rows[0][1]), (0, rows[0][1])]
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words((t or "").lower())) else set() for d, t in rows if d is not None}
-    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    sets = {d: shingle_set(t) for d, t in rows if d is not None}
     close = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
     texts = dict(rows)
     assert sum((brute_print(texts[a]) ^ brute_print(texts[b])).bit_count() > 2 for a, b in close) > 20
@@ -344,9 +373,9 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypat
     table = spark.createDataFrame(rows, "doc_id long, text string")
     for tile in (4096, 2):
         monkeypatch.setattr(jaccard_dedup, "TILE", tile)
-        kept = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+        kept = [x["doc_id"] for x in simhash.keep_first(table, size=5, similarity=0.8).collect()]
         assert sorted(map(str, kept)) == sorted(map(str, [*{v for v in up.values()}, None]))
-    assert jaccard_dedup.keep_first(none).count() == 0
+    assert simhash.keep_first(none, similarity=0.8).count() == 0
 
 
 def test_components_of_hard_shapes(spark):
@@ -357,6 +386,17 @@ def test_components_of_hard_shapes(spark):
     found = {r["node"]: r["component"] for r in common.components(edges).collect()}
     up = smallest({x for e in [*path, *star, *ring] for x in e}, [*path, *star, *ring])
     assert found == up
+    # a path is no more tables than the logarithm of its length, whichever way its numbers run
+    rng, steps = random.Random(7), []
+    names = list(range(2000))
+    for turn in range(2):
+        before = len(common.written(spark))
+        links = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+        found = {r["node"]: r["component"] for r in common.components(links, "rounds").collect()}
+        assert found == {k: 0 for k in names}
+        steps.append(len(common.written(spark)) - before)
+        rng.shuffle(names)
+    assert steps[0] <= 15 and steps[1] <= 50, steps
     assert common.components(edges.limit(0)).count() == 0
 
 
@@ -539,7 +579,8 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     packed = corpus_pipeline.run(spark, folder).toPandas()
     kept = {r["doc_id"] for r in quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("kept").collect()}
     left = sorted({(d, t) for d, t, *_ in rows if d in kept})
-    up = smallest({d for d, _ in left}, [(a, b) for a, x in left for b, y in left if (brute_print(x) ^ brute_print(y)).bit_count() <= 2])
+    sets = {d: shingle_set(t) for d, t in left}
+    up = smallest(set(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
     stay = {d: t for d, t in left if up[d] == d}
     stay = {d: _cut(t) for d, t in stay.items()}
     assert set(packed.doc_id) == set(stay)
