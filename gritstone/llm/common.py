@@ -88,9 +88,16 @@ def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*columns, F.lit(5)), F.lit(span)) < int(span * 0.95 * most / n))
 
 
+#: Bytes of an Arrow batch where the session keeps Spark's own 64 MB: a worker holds several copies of one.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
+
 def map_batches(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with ``func(batch) -> iterable of batches`` and this package shipped."""
     ship(df.sparkSession)
+    name, default, ours = BATCH_BYTES
+    if df.sparkSession.conf.get(name, default) == default:
+        df.sparkSession.conf.set(name, ours)
 
     def run(batches: Iterable) -> Iterator:
         for batch in batches:
