@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..sources.tables import spread
 
-__all__ = ["components", "drop_tables", "encoder", "hash_sample", "look_up", "map_batches", "materialise", "partitions_for", "pieces_of", "raw_bytes", "shared_folder", "ship", "spread", "text_bytes", "written"]
+__all__ = ["components", "drop_tables", "encoder", "hash_sample", "hot_rows", "look_up", "map_batches", "materialise", "partitions_for", "pieces_of", "raw_bytes", "shared_folder", "ship", "spread", "text_bytes", "written"]
 
 _written: dict[str, list[str]] = {}
 
@@ -149,6 +149,14 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: str = "n_rows",
     return near.unionByName(far.join(table.where(F.col(count) * HOT_OF <= total).select(key, *names), key, how))
 
 
+def hot_rows(rows: DataFrame, *keys: str) -> DataFrame | None:
+    """The values of ``keys`` that more than one row in ``HOT_OF`` of ``rows`` repeat, so fewer than that; None without any."""
+    total = rows.count()
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where((F.col("n_rows") > 1) & (F.col("n_rows") * HOT_OF > total)).select(*keys)
+    found = materialise(found, "hot")
+    return None if found.isEmpty() else found
+
+
 def rooted(hooks: DataFrame, name: str) -> DataFrame:
     """The root of every node of a forest (node, to), a root being its own ``to``: each turn halves all ways."""
     while True:

@@ -82,8 +82,51 @@ def test_super_kmers_cover_every_window_once():
     rng = random.Random(2)
     for n in (0, 19, 20, 21, 300):
         w = [b"%d" % rng.randrange(4 if n == 300 else 50) for _ in range(n)]
-        _, starts, ends = substring_dedup.super_kmers(w, 20, 4)
-        assert [x for a, b in zip(starts, ends) for x in range(a, b)] == list(range(max(0, n - 19)))
+        for crowded in ([], [np.arange(7)], [np.arange(0, 7, 2), np.arange(7, 14, 3)]):
+            buckets, starts, ends = substring_dedup.super_kmers(w, 20, 4, 7, crowded)
+            assert sorted(x for a, b in zip(starts, ends) for x in range(a, b)) == list(range(max(0, n - 19)))
+            assert not any(b in x for x in crowded for b in buckets) and all(0 < b - a <= substring_dedup.LONGEST for a, b in zip(starts, ends))
+    # a window's words alone decide its bucket
+    w = [b"%d" % rng.randrange(9) for _ in range(400)]
+    at = {}
+    for words_of in (w, w[3:200], w[50:] + w[:90]):
+        for b, first, end in zip(*substring_dedup.super_kmers(words_of, 20, 3, 5, [np.array([1, 2]), np.array([6, 8])])):
+            for k in range(first, end):
+                assert at.setdefault(tuple(words_of[k : k + 20]), b) == b
+
+
+def brute_removed(rows, window=20):
+    """What is kept of each (doc_id, text), in order of doc_id and a hash of the text."""
+    import xxhash
+
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    first, out = {}, {}
+    for d, t in sorted({(d, t) for d, t in rows if d is not None}, key=lambda x: (x[0], signed(x[1]))):
+        w = words(t)
+        mask = bytearray(len(w))
+        for i in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[i : i + window]), (d, t, i)) != (d, t, i):
+                mask[i : i + window] = b"\1" * window
+        out[d, t] = " ".join(x for x, gone in zip(w, mask) if not gone)
+    return out
+
+
+@pytest.mark.parametrize("crowded", [64 << 20, 50])
+def test_rows_that_repeat_a_doc_id_lose_their_own_repeats_only(spark, monkeypatch, crowded):
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(substring_dedup, "SAMPLE_OF", 1)
+    monkeypatch.setattr(substring_dedup, "HELD", 3)
+    monkeypatch.setattr(common, "HOT_OF", 10)
+    rng = random.Random(8)
+    w = [f"w{k}" for k in range(60)]
+    hot = "of the and " * 7
+    rows = [(1, " ".join(w)), (5, " ".join(w[:30])), (5, " ".join(f"x{k}" for k in range(60))), (5, " ".join(w[:30])), (None, " ".join(w)), (7, None), (7, "a")]
+    rows += [(k, " ".join(f"{rng.randrange(300)}" for _ in range(25)) + " " + hot + prose(rng, 30)) for k in range(100, 160)]
+    rows += [(200, rows[-1][1])] * 60 + [(201, rows[0][1])] * 30
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    expected = brute_removed(rows)
+    assert collections.Counter((r["doc_id"], r["kept_text"]) for r in found) == collections.Counter((d, expected[d, t] if d is not None else " ".join(words(t))) for d, t in rows)
+    assert expected[5, rows[2][1]] == rows[2][1] and expected[5, rows[1][1]] == ""
 
 
 def base_counts(text):
