@@ -149,8 +149,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    lengths = token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), 2)
-    return token_output.read_tokens(spark, path, lengths)
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), 2)
+    return token_output.read_tokens(spark, path)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

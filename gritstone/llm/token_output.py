@@ -1,18 +1,23 @@
 """Token ids as files: canonical length-limited Huffman codes in independent blocks.
 
 Every text is encoded once; the ids are counted over the whole corpus by vocabulary entry, and one
-code of at most ``LIMIT`` bits is built from the counts by package-merge. Documents keep the order
-of their doc_id: a prefix sum over their token counts gives each its place and cuts the order into
-files of about ``file_tokens`` ids, whose first doc_ids (a few numbers per file) deal the documents
-out. A file is a run of blocks of whole documents. A block holds its documents' numbers and token
-counts, its codes as one bit string and the bit offset of every ``STEP``-th token; with these
-checkpoints all stretches of a block are decoded side by side by table look-up. The blocks lie in
-the rows of Parquet files, so that Spark's commit protocol replaces what a lost task left behind,
-and any store that Spark reaches will do.
+code is built from the counts by package-merge: of at most ``LIMIT`` bits, or as many more as so many
+ids need. Documents keep the order of their doc_id: a prefix sum over their token counts gives each
+its place and cuts the order into files of about ``file_tokens`` ids, whose first rows (a few numbers
+per file) deal the documents out. A file is a run of blocks of whole documents. A block holds its
+documents' numbers and token counts, its codes as one bit string and the bit offset of every
+``STEP``-th token; with these checkpoints all stretches of a block are decoded side by side by table
+look-up. The blocks lie in the rows of Parquet files below ``blocks``, so that Spark's commit protocol
+replaces what a lost task left behind, and any store that Spark reaches will do. The code lengths lie
+beside them below ``code``: the path alone is enough to read all.
+
+Rows are told apart by doc_id, a hash of their ids and a number of their own, so rows of one doc_id
+or of none are spread over files like any others.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id follow each
 other, ordered by what they hold; rows whose doc_id is null come first; an empty table gives no
-blocks; other columns are ignored; a document longer than a block or a file is a block of its own.
+blocks; other columns are ignored; a document longer than a block or a file is a block of its own;
+a vocabulary of over 2 ** 24 used ids raises an error.
 """
 
 from __future__ import annotations
@@ -22,20 +27,23 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, map_batches, materialise, pieces_of, ship, spread
+from .common import encoder, map_batches, materialise, partitions_for, pieces_of, ship, spread
 
 #: Longest code in bits, tokens between checkpoints, tokens of a block and of a file.
 LIMIT, STEP, BLOCK_TOKENS, FILE_TOKENS = 16, 64, 1 << 17, 1 << 22
-#: Files at most: their first doc_ids go to every task.
+#: Files at most, as their first rows go to every task. Beyond 4e11 tokens files grow, but no block and no task's memory.
 MOST_FILES = 100_000
-BLOCKS = "file long, block long, payload binary"
+BLOCKS, CODE = "file long, block long, payload binary", "size int, lengths binary"
 
 
 def code_lengths(counts, limit: int = LIMIT):
-    """Optimal code lengths of at most ``limit`` bits for ids with a count; 0 for the others."""
+    """Optimal code lengths of at most ``limit`` bits, or one more than the used ids need, for ids with a count; 0 for the others."""
     import numpy as np
 
     used = np.flatnonzero(counts)
+    limit = max(limit, int(len(used)).bit_length() + 1) if len(used) > 1 << limit else limit
+    if limit > 25:
+        raise ValueError("too many ids for codes of 25 bits")
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         lengths[used] = 1
@@ -71,10 +79,11 @@ def canonical(lengths):
     order = order[lengths[order] > 0]
     codes = np.zeros(len(lengths), np.uint32)
     size = lengths[order].astype(np.int64)
-    steps = np.int64(1) << (LIMIT - size)
+    limit = max(LIMIT, int(size.max(initial=1)))
+    steps = np.int64(1) << (limit - size)
     starts = np.cumsum(steps) - steps
-    codes[order] = (starts >> (LIMIT - size)).astype(np.uint32)
-    symbols, bits = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.uint8)
+    codes[order] = (starts >> (limit - size)).astype(np.uint32)
+    symbols, bits = np.zeros(1 << limit, np.uint32), np.ones(1 << limit, np.uint8)
     total = int(steps.sum())
     symbols[:total], bits[:total] = np.repeat(order, steps), np.repeat(size, steps)
     return codes, symbols, bits
@@ -104,12 +113,13 @@ def read_bits(data: bytes, offsets, n: int, symbols, bits):
     """The ``n`` ids of a bit string, all stretches between checkpoints in step."""
     import numpy as np
 
+    limit = len(symbols).bit_length() - 1
     raw = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint32)
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     at = np.array(offsets, np.int64)
     out = np.zeros((len(at), STEP), np.uint32)
     for k in range(STEP):
-        peek = (window[np.minimum(at >> 3, len(window) - 1)] >> (24 - LIMIT - (at & 7)).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1)
+        peek = (window[np.minimum(at >> 3, len(window) - 1)] >> (32 - limit - (at & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
         out[:, k] = symbols[peek]
         at = at + bits[peek]
     return out.ravel()[:n]
@@ -185,57 +195,79 @@ def count_ids(rows: DataFrame, size: int):
     return total
 
 
-def file_starts(rows: DataFrame, file_tokens: int) -> list[tuple[int, int]]:
-    """(first doc_id, place of its first token) of every file, in order: two numbers a file."""
+#: What puts rows in order; ``number`` tells equal ones apart.
+ORDER = ["doc_id", "ids_key", "number"]
+
+
+def file_starts(rows: DataFrame, file_tokens: int) -> list[tuple[tuple, int]]:
+    """(first row's ``ORDER``, place of its first token) of every file, in order: four numbers a file."""
+    from pyspark.sql import Window
+
     spark = rows.sparkSession
-    sizes = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
-    dealt = materialise(sizes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()), "sizes")
-    totals = {x["part"]: x["n"] for x in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    # 40 bytes a row at most
+    parts = partitions_for(spark, rows.count() * 40, 64 << 20)
+    dealt = rows.repartitionByRange(parts, *[F.col(x).asc_nulls_first() for x in ORDER]).withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "sizes")
+    totals = {x["part"]: x["n"] for x in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     before, places = 0, []
     for part in sorted(totals):
         places.append((part, before))
         before += totals[part]
     if not places:
         return []
-    from pyspark.sql import Window
-
-    # at most so many files as a task can look up at once; beyond that the files grow
     file_tokens = max(file_tokens, -(-before // MOST_FILES))
     base = spark.createDataFrame(places, "part int, before long")
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    in_order = Window.partitionBy("part").orderBy(*[F.col(x).asc_nulls_first() for x in ORDER])
+    running = F.sum("n_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     placed = dealt.join(F.broadcast(base), "part").withColumn("start", F.col("before") + F.coalesce(running, F.lit(0)))
-    first = placed.withColumn("file", F.floor(F.col("start") / file_tokens)).groupBy("file").agg(F.min("start").alias("start"), F.min_by("doc_id", "start").alias("doc_id"))
-    return [(x["doc_id"], x["start"]) for x in first.orderBy("start").collect()]
+    placed = placed.withColumn("file", F.floor(F.col("start") / file_tokens))
+    # the first row of a file is where the number of the file steps up, or where a part begins
+    last = F.lag("file").over(in_order)
+    first = placed.withColumn("last", last).where(F.col("last").isNull() | (F.col("last") != F.col("file")))
+    out, known = [], set()
+    for x in sorted(first.select("start", "file", *ORDER).collect(), key=lambda x: x["start"]):
+        if x["file"] not in known:
+            known.add(x["file"])
+            out.append((tuple(x[c] for c in ORDER), x["start"]))
+    return out
+
+
+def in_order(doc_id: int | None, ids_key: int, number: int) -> tuple:
+    """A key that sorts rows as :data:`ORDER` does, without a doc_id first."""
+    return doc_id is not None, doc_id or 0, ids_key, number
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_tokens: int = FILE_TOKENS) -> "object":
-    """Write the token files of ``docs`` below ``path``; returns the code lengths, which decode them."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_tokens: int = FILE_TOKENS) -> None:
+    """Write the token files of ``docs`` below ``path``, with the code that decodes them."""
+    import zlib
+
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    rows = materialise(token_rows(docs, vocabulary, end_id), "tokens")
+    rows = token_rows(docs, vocabulary, end_id).withColumn("ids_key", F.xxhash64("ids")).withColumn("number", F.monotonically_increasing_id())
+    rows = materialise(rows, "tokens")
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1)
     lengths = code_lengths(count_ids(rows, size))
-    starts = file_starts(rows.select("doc_id", "n_tokens"), file_tokens)
-    shared = spark.sparkContext.broadcast((lengths, starts))
+    starts = file_starts(rows.select(*ORDER, "n_tokens"), file_tokens)
+    spark.createDataFrame([(size, bytearray(zlib.compress(lengths.tobytes())))], CODE).coalesce(1).write.parquet(f"{path}/code")
+    shared = spark.sparkContext.broadcast((lengths, [in_order(*x[0]) for x in starts], [x[1] for x in starts]))
 
     def encode(batch) -> Iterator:
-        import numpy as np
+        from bisect import bisect_right
+
         import pyarrow as pa
 
-        first = np.array([np.iinfo(np.int64).min if x[0] is None else x[0] for x in shared.value[1]], np.int64)
-        doc = batch.column("doc_id")
-        at = pa.compute.fill_null(doc, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        file = np.searchsorted(first, at, "right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), doc, batch.column("width"), batch.column("ids")], names=["file", "doc_id", "width", "ids"])
+        firsts = shared.value[1]
+        file = [bisect_right(firsts, in_order(*x)) - 1 for x in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), *[batch.column(c) for c in (*ORDER, "width", "ids")]], names=["file", *ORDER, "width", "ids"])
 
     def pack(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        lengths, starts = shared.value
+        lengths, _, starts = shared.value
         codes, _, _ = canonical(lengths)
-        held, sizes, docs, file, block, place = [], [], [], None, 0, 0
+        held, sizes, docs, file, block, place, tokens = [], [], [], None, 0, 0, 0
 
         def close():
             ids = np.concatenate(held)
@@ -244,28 +276,34 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_
 
         for batch in batches:
             for f, doc, width, ids in zip(batch.column("file").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and (f != file or sum(sizes) >= BLOCK_TOKENS):
+                if held and (f != file or tokens >= BLOCK_TOKENS):
                     yield close()
-                    place, block = place + sum(sizes), block + 1
-                    held, sizes, docs = [], [], []
+                    place, block = place + tokens, block + 1
+                    held, sizes, docs, tokens = [], [], [], 0
                 if f != file:
-                    file, block, place = f, 0, starts[f][1]
+                    file, block, place = f, 0, starts[f]
                 held.append(np.frombuffer(ids, np.uint16 if width == 2 else np.uint32).astype(np.int64))
                 sizes.append(len(held[-1]))
+                tokens += sizes[-1]
                 docs.append(doc)
         if held:
             yield close()
 
-    dealt = map_batches(rows, encode, "file long, doc_id long, width int, ids binary")
-    parts = max(1, len(starts))
-    dealt = dealt.repartitionById(min(parts, 20_000), (F.col("file") % min(parts, 20_000)).cast("int")).sortWithinPartitions("file", "doc_id", F.xxhash64("ids"))
-    dealt.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(path)
-    return lengths
+    dealt = map_batches(rows, encode, "file long, doc_id long, ids_key long, number long, width int, ids binary")
+    parts = max(1, min(len(starts), 20_000))
+    dealt = dealt.repartitionById(parts, (F.col("file") % parts).cast("int")).sortWithinPartitions("file", *[F.col(x).asc_nulls_first() for x in ORDER])
+    dealt.select("file", "doc_id", "width", "ids").mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark, path: str, lengths) -> DataFrame:
+def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files below ``path``."""
-    shared = spark.sparkContext.broadcast(lengths)
+    import zlib
+
+    import numpy as np
+
+    # one row, of a byte for each id of the vocabulary before compression
+    code = spark.read.schema(CODE).parquet(f"{path}/code").first()
+    shared = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(bytes(code["lengths"])), np.uint8))
 
     def run(batches: Iterable) -> Iterator:
         import zlib
@@ -283,4 +321,4 @@ def read_tokens(spark, path: str, lengths) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     ship(spark)
-    return spark.read.schema(BLOCKS).parquet(path).select("payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -528,17 +528,17 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.redact(docs).count() == len(corpus()) and secret_scan.scan_documents(none).count() == 0
 
 
-def test_token_files(spark, docs, none, tmp_path):
+def test_token_files(spark, docs, none, tmp_path, monkeypatch):
+    # many rows of one doc_id and of none go to several files
+    more = [(20, f"row {k} of one id") for k in range(300)] + [(None, "equal rows without an id")] * 300
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    expected = collections.Counter((d, len(i := ids_of(t, "word_bpe_49k.json")), crc(i)) for d, t in [*known(), *more])
     for block in (1 << 17, 200):
         path = str(tmp_path / f"tokens{block}")
-        before, token_output.BLOCK_TOKENS = token_output.BLOCK_TOKENS, block
-        try:
-            lengths = token_output.write_tokens(docs, path, vocabulary("word_bpe_49k.json"), 2, file_tokens=5000)
-        finally:
-            token_output.BLOCK_TOKENS = before
-        found = token_output.read_tokens(spark, path, lengths).collect()
-        expected = {(d, len(i := ids_of(t, "word_bpe_49k.json")), crc(i)) for d, t in known()}
-        assert len(found) == len(corpus()) and {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found} == expected
+        monkeypatch.setattr(token_output, "BLOCK_TOKENS", block)
+        token_output.write_tokens(table, path, vocabulary("word_bpe_49k.json"), 2, file_tokens=4000)
+        found = token_output.read_tokens(spark.newSession(), path).collect()
+        assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == expected
         place, last = 0, -math.inf
         for r in sorted(found, key=lambda r: r["start"]):
             assert r["start"] == place
@@ -546,8 +546,10 @@ def test_token_files(spark, docs, none, tmp_path):
             here = -math.inf if r["doc_id"] is None else r["doc_id"]
             assert here >= last
             last = here
-    lengths = token_output.write_tokens(none, str(tmp_path / "none"), vocabulary("word_bpe_49k.json"), 2)
-    assert token_output.read_tokens(spark, str(tmp_path / "none"), lengths).count() == 0
+        sizes = spark.read.parquet(f"{path}/blocks").groupBy("file").agg(F.count("*").alias("n")).count()
+        assert sizes > 4
+    token_output.write_tokens(none, str(tmp_path / "none"), vocabulary("word_bpe_49k.json"), 2)
+    assert token_output.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_codes_are_optimal_and_limited():
@@ -571,6 +573,14 @@ def test_codes_are_optimal_and_limited():
         assert (token_output.read_bits(data, offsets, 1000, symbols, bits) == ids).all()
     steep = token_output.code_lengths(2 ** np.arange(40))
     assert steep.max() == 16 and sum(2.0 ** -steep.astype(float)) <= 1
+    # more ids than codes of 16 bits
+    counts = rng.integers(1, 5000, 70_000)
+    lengths = token_output.code_lengths(counts)
+    assert 16 < lengths.max() <= 18 and (2.0 ** -lengths.astype(float)).sum() <= 1
+    codes, symbols, bits = token_output.canonical(lengths)
+    ids = rng.integers(0, 70_000, 5000)
+    data, offsets = token_output.write_bits(ids, codes, lengths)
+    assert (token_output.read_bits(data, offsets, 5000, symbols, bits) == ids).all()
 
 
 def test_longest_common_lines():
