@@ -133,20 +133,21 @@ def raw_bytes(column) -> list:
 HOT_OF = 5_000
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, count: str = "n_rows", how: str = "inner") -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, *key: str, count: str = "n_rows") -> DataFrame:
     """``rows`` with the columns of ``table``, which has each ``key`` once and in ``count`` how many rows hold it.
 
     Keys with more than one row in ``HOT_OF`` are under ``HOT_OF`` rows of ``table``, whatever its size; they are
     broadcast. No other key is more than that share of a shuffle, so no task depends on the skew of the keys.
     """
+    key = list(key)
     total = int(table.agg(F.sum(count)).first()[0] or 0)
-    hot = table.where(F.col(count) * HOT_OF > total)
-    names = [x for x in table.columns if x not in (key, count)]
+    often = (F.col(count) > 1) & (F.col(count) * HOT_OF > total)
+    hot, names = table.where(often), [x for x in table.columns if x not in (*key, count)]
     if hot.isEmpty():
-        return rows.join(table.select(key, *names), key, how)
-    near = rows.join(F.broadcast(hot.select(key, *names)), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return near.unionByName(far.join(table.where(F.col(count) * HOT_OF <= total).select(key, *names), key, how))
+        return rows.join(table.select(*key, *names), key)
+    near = rows.join(F.broadcast(hot.select(*key, *names)), key)
+    far = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return near.unionByName(far.join(table.where(~often).select(*key, *names), key))
 
 
 def hot_rows(rows: DataFrame, *keys: str) -> DataFrame | None:

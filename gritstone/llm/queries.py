@@ -102,6 +102,53 @@ FROM embeddings e JOIN named n ON e.vec_id = n.x LEFT JOIN counted c ON e.vec_id
 """
 
 
+def op8_sql() -> str:
+    """Places of matches by the lengths of what lies before them; each further kind where no span of the kinds before it is."""
+
+    def folded(word: str) -> str:
+        return "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in word)
+
+    words = "|".join(map(folded, ("password", "passwd", "secret", "token"))) + f"|{folded('api')}_?{folded('key')}"
+    ascii_part = "[!-.0-9;-?A-~]"
+    kinds = [
+        ("assign", rf"""(?:{words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(value) >= 12"),
+        ("access", "(AKIA[A-Z0-9]+)", "length(value) >= 18"),
+        ("hex", "([0-9a-f]+)", "length(value) >= 16"),
+        ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-{0,4}[A-Za-z0-9+/=:,. \t\r\n])*-----END [A-Z ]*PRIVATE KEY-----)", "true"),
+        ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "true"),
+        ("prefixed", "(gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", "true"),
+        ("url", f"[a-z][a-z0-9+.-]+://{ascii_part}+:({ascii_part}{{6,}})@", "true"),
+        ("bearer", rf"{folded('bearer')}\x20+([A-Za-z0-9._~+/-]{{20,}}=*)", "true"),
+    ]
+    steps, known = [], []
+    for k, (name, pattern, test) in enumerate(kinds):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        lead = "length(found) - length(value)" if name == "jwt" else "0"
+        free = "" if k < 3 else " AND NOT EXISTS (SELECT 1 FROM (" + " UNION ALL ".join(f"SELECT doc_id, a, b FROM {x}" for x in known) + ") t WHERE t.doc_id = m.doc_id AND t.a < m.b AND m.a < t.b)"
+        steps.append(f"""m{k} AS (
+  SELECT doc_id, owner, value, start + {lead} AS a, start + length(found) AS b FROM (
+    SELECT doc_id, owner, found, regexp_extract(found, {quoted}, 1) AS value,
+      list_sum(list_transform(pieces[1:nth], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:nth - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(matches) AS found, unnest(range(1, len(matches) + 1)) AS nth FROM (
+      SELECT doc_id, owner, regexp_extract_all(body, {quoted}) AS matches, string_split_regex(body, {quoted}) AS pieces FROM texts))
+  ) WHERE {test}
+), k{k} AS (SELECT doc_id, owner, value, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {k} AS kind, '{name}' AS name FROM m{k} m WHERE true{free})""")
+        known.append(f"k{k}")
+    return f"""WITH texts AS (SELECT doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS body FROM documents), {", ".join(steps)},
+spans AS ({" UNION ALL ".join(f"SELECT * FROM {x}" for x in known)}),
+held AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY value),
+judged AS (SELECT s.*, owners < {secret_scan.MANY_OWNERS} AS live, name || ':' || a || ':' || b AS spelt FROM spans s JOIN held h ON s.value = h.value),
+told AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(spelt, ',' ORDER BY a, kind, b) FILTER (WHERE kind < 3) AS base, string_agg(spelt, ',' ORDER BY a, kind, b) FILTER (WHERE kind < 3 OR live) AS spans,
+    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied
+  FROM judged GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM texts t LEFT JOIN told ON t.doc_id = told.doc_id"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -162,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_secret_scan": op8_sql()}

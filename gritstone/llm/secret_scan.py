@@ -6,8 +6,10 @@ widely copied example, one that a single owner or two hold looks like a live cre
 kinds (assign, access, hex) are always reported; the further kinds only where their value is not a
 widely copied example, as their patterns are too loose to stand alone.
 
-Only hashes travel, and (hash, owner, repository) is combined before each shuffle, so a value that
-a third of all documents hold is a few rows per task.
+No pattern has an upper length, and none starts anew within a run that it has failed on, so a scan is
+linear in the text. Only hashes travel, and (hash, owner, repository) is combined before each shuffle,
+so a value that a third of all documents hold is a few rows per task; values that hot are looked up by
+broadcast, and there is a bounded number of them.
 
 Defined cases: a null text is empty; spans count code points, ends exclusive; rows that repeat a
 doc_id with other text are kept apart by the text's hash; a null owner or repository is a name of
@@ -22,17 +24,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, pieces_of, raw_bytes, spread
+from .common import look_up, map_batches, materialise, pieces_of, raw_bytes, spread
 
 #: The base kinds and the further ones, in the order in which spans of one start are listed.
 BASE = ("assign", "access", "hex")
 FURTHER = {
-    "private_key": rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
-    "jwt": rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "prefixed": rb"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})",
-    "url": rb"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{6,100})@",
-    "bearer": rb"(?i:bearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)",
+    "private_key": rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-{0,4}[A-Za-z0-9+/=:,. \t\r\n])*+-----END [A-Z ]*PRIVATE KEY-----",
+    "jwt": rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "prefixed": rb"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}",
+    "url": rb"://[!-.0-9;-?A-~]+:([!-.0-9;-?A-~]{6,})@",
+    "bearer": rb"[Bb][Ee][Aa][Rr][Ee][Rr]\x20+([A-Za-z0-9._~+/-]{20,}=*)",
 }
+#: What a text must hold for a kind to occur at all.
+HINTS = {"private_key": b"-----BEGIN ", "jwt": b"eyJ", "url": b"://"}
+#: What may stand before ``://``; the first lower-case letter of such a run begins the span.
+_SCHEME = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789+.-")
 KINDS = (*BASE, *FURTHER)
 #: A value held by at least so many owners is a widely copied example.
 MANY_OWNERS = 3
@@ -43,19 +49,53 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _FURTHER = {k: re.compile(v) for k, v in FURTHER.items()}
 
 
+def further(kind: str, text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, value) of the candidates of one further kind, leftmost first, none overlapping."""
+    at = 0
+    for m in _FURTHER[kind].finditer(text):
+        start = m.start()
+        if kind == "url":
+            # back over the scheme: runs of two places never overlap, as ``:`` is in none
+            first = start
+            while first > at and text[first - 1] in _SCHEME:
+                first -= 1
+            while first < start and not 97 <= text[first] <= 122:
+                first += 1
+            if start - first < 2:
+                continue
+            start, at = first, m.end()
+        yield start, m.end(), m[m.lastindex or 0]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(start, kind, end, value) of every candidate, in bytes; further kinds where no base span is."""
+    """(start, kind, end, value) of every candidate, in bytes; further kinds where no span before them is."""
     found = [(m.start(), 0, m.end(), m[1]) for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
     found += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
-    taken = [(x[0], x[2]) for x in found]
-    for kind, (name, pattern) in enumerate(_FURTHER.items(), len(BASE)):
-        if name == "url" and b"://" not in text or name == "jwt" and b"eyJ" not in text or name == "private_key" and b"-----BEGIN" not in text:
+    taken = merged([(x[0], x[2]) for x in found])
+    for kind, name in enumerate(FURTHER, len(BASE)):
+        if HINTS.get(name, b"") not in text:
             continue
-        for m in pattern.finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b in taken):
-                taken.append((m.start(), m.end()))
-                found.append((m.start(), kind, m.end(), m[m.lastindex or 0]))
+        k, new = 0, []
+        for start, end, value in further(name, text):
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if k == len(taken) or taken[k][0] >= end:
+                new.append((start, kind, end, value))
+        if new:
+            found += new
+            taken = merged([*taken, *((x[0], x[2]) for x in new)])
     return sorted(found)
 
 
@@ -95,10 +135,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(each: DataFrame) -> DataFrame:
-    """(value, n_owners, n_repositories) over the whole corpus."""
-    by_repository = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = by_repository.groupBy("value", "owner").agg(F.count("*").alias("held"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("held").alias("n_repositories"))
+    """(value, n_owners, n_repositories, n_rows) over the whole corpus."""
+    by_repository = each.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = by_repository.groupBy("value", "owner").agg(F.count("*").alias("held"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("held").alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
 def scan_documents(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), many: int = MANY_OWNERS) -> DataFrame:
@@ -111,7 +151,7 @@ def scan_documents(docs: DataFrame, owner: str = "source", repository: tuple[str
     rows = materialise(candidates(given), "scanned")
     each = rows.select("doc_id", "text_key", "owner", "repository", F.explode("found").alias("x")).select("doc_id", "text_key", "owner", "repository", "x.*")
     held = materialise(ownership(each.select("value", "owner", "repository")), "ownership")
-    judged = each.select("doc_id", "text_key", "start", "kind", "end", "value").join(held, "value")
+    judged = look_up(each.select("doc_id", "text_key", "start", "kind", "end", "value"), held, "value")
     live = F.col("n_owners") < many
     verdicts = judged.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(live & (F.col("kind") >= len(BASE)), F.struct("start", "kind", "end"))).alias("added"),
@@ -131,21 +171,25 @@ def scan_documents(docs: DataFrame, owner: str = "source", repository: tuple[str
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark`` and ``n_chars``, if there, brought in line."""
-    found = scan_documents(docs, **options).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).distinct()
+    """``docs`` with every reported span replaced by ``mark`` and ``n_chars``, if there, brought in line.
+
+    The columns of ``docs`` travel as one, so none of them can clash with the operator's own.
+    """
+    found = scan_documents(docs, **options).where("spans <> ''").select("doc_id", "text_key", "spans").distinct()
 
     def key(batch) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
         keys = [xxh3_64_intdigest(x or b"") for x in raw_bytes(batch.column("text"))]
-        yield batch.append_column("_text_key", pa.array([x - (1 << 64) if x >> 63 else x for x in keys], pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([x - (1 << 64) if x >> 63 else x for x in keys], pa.int64())], names=["row", "doc_id", "text_key"])
 
     def cut(batch) -> Iterator:
         import pyarrow as pa
 
+        row = batch.column("row")
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(row.field("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if spans and text:
                 out, at = [], 0
                 for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
@@ -154,13 +198,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
                         at = end
                 text = "".join([*out, text[at:]])
             texts.append(text)
-        places = [k for k, x in enumerate(batch.schema.names) if x not in ("_spans", "_text_key", "_id", "_key")]
-        columns = [pa.array(texts, pa.string()) if batch.schema.names[k] == "text" else batch.column(k) for k in places]
-        yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[k] for k in places])
-
-    from pyspark.sql import types as T
-
-    keyed = map_batches(docs, key, T.StructType([*docs.schema.fields, T.StructField("_text_key", T.LongType())]))
-    joined = keyed.join(found.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+        names = [row.type.field(k).name for k in range(row.type.num_fields)]
+        columns = [pa.array(texts, pa.string()) if x == "text" else row.field(x) for x in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    packed = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    keyed = map_batches(packed, key, f"row {packed.schema['row'].dataType.simpleString()}, doc_id long, text_key long").alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
+    joined = keyed.join(found.alias("b"), same, "left").select("a.row", "b.spans")
     out = map_batches(joined, cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

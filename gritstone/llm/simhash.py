@@ -202,28 +202,38 @@ def link_within(prints, home, reach: int, small: int = SMALL, seed: int = 11) ->
     return forest
 
 
-def graft(tree: list, leaves: dict[int, list]) -> list:
-    """``tree`` with some of its shards replaced by trees; the shards are numbered anew."""
-    out, shards = [list(x) for x in tree], 0
-    for x in out:
-        for side in (2, 3):
-            if x[side] < 0 and -x[side] - 1 in leaves:
-                x[side] = (-x[side] - 1, "leaf")
-    if not out:
-        out = [list(x) for x in leaves.get(0, [])]
-    else:
-        for k in range(len(tree)):
-            for side in (2, 3):
-                if isinstance(out[k][side], tuple):
-                    own, base = leaves[out[k][side][0]], len(out)
-                    out[k][side] = base
-                    out += [[v, r, a + base if a >= 0 else a, b + base if b >= 0 else b] for v, r, a, b in own]
-    for x in out:
-        for side in (2, 3):
-            if x[side] < 0:
-                shards += 1
-                x[side] = -shards
-    return out
+def graft(tree: list, leaves: dict[int, list]) -> tuple[list, list[tuple[int, int]]]:
+    """``tree`` with some of its shards replaced by trees, and for each shard of the whole which one of which it was.
+
+    A row of a tree ends with its two children; a negative child -k - 1 is shard k.
+    """
+    out, origin = [], []
+
+    def child(leaf: int, own: list) -> int:
+        if not own:
+            origin.append((leaf, 0))
+            return -len(origin)
+        base = len(out)
+        out.extend(own)
+        for k, row in enumerate(own):
+            new = list(row)
+            for side in (-2, -1):
+                if row[side] < 0:
+                    origin.append((leaf, -row[side] - 1))
+                    new[side] = -len(origin)
+                else:
+                    new[side] = row[side] + base
+            out[base + k] = new
+        return base
+
+    out.extend(list(x) for x in tree)
+    if not tree:
+        child(0, leaves.get(0, []))
+    for k in range(len(tree)):
+        for side in (-2, -1):
+            if tree[k][side] < 0:
+                out[k][side] = child(-tree[k][side] - 1, leaves.get(-tree[k][side] - 1, []))
+    return out, origin
 
 
 def vantage_tree(nodes: DataFrame, count: int, each: int) -> list:
@@ -259,7 +269,7 @@ def vantage_tree(nodes: DataFrame, count: int, each: int) -> list:
     some = hash_sample(nodes.select("print"), count // each * LEAF_SAMPLE, "print")
     grown = map_batches(some, home, "leaf int, print long").groupBy("leaf").applyInArrow(split, "leaf int, tree array<long>").collect()
     leaves = {x["leaf"]: [[int(np.int64(v).view(np.uint64)), r, a, b] for v, r, a, b in zip(*[iter(x["tree"])] * 4, strict=True)] for x in grown if x["tree"]}
-    return graft(tree, leaves)
+    return graft(tree, leaves)[0]
 
 
 def shard_edges(nodes: DataFrame, reach: int, each: int | None = None) -> DataFrame:
@@ -309,7 +319,7 @@ def name_groups(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     labels = components(edges)
     named = materialise(keys.join(labels.withColumnRenamed("node", key), key, "left").withColumn("grp", F.coalesce("component", key)).drop("component"), "named")
     groups = materialise(named.groupBy("grp").agg(F.min("least").alias("component_id"), F.count("*").alias("n_keys")), "groups")
-    told = materialise(look_up(named, groups, "grp", "n_keys").select(key, "n_rows", "grp", "component_id"), "told")
+    told = materialise(look_up(named, groups, "grp", count="n_keys").select(key, "n_rows", "grp", "component_id"), "told")
     return look_up(rows, told, key)
 
 
