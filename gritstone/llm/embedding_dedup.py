@@ -136,8 +136,9 @@ def _by_kind(batch) -> Iterator:
     """(label, length, rows of the batch, their turned vectors)."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    sizes = pa.compute.list_value_length(batch.column("embedding")).to_numpy()
+    sizes = pc.list_value_length(batch.column("embedding")).to_numpy()
     groups: dict = {}
     for k, key in enumerate(zip(batch.column("label").to_pylist(), sizes.tolist(), strict=True)):
         groups.setdefault(key, []).append(k)
