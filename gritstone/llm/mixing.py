@@ -5,8 +5,9 @@ normalised, is its weight. The exponent is found by bisection, ``ARMS`` ways at
 small table of sources: the largest one whose weights reach a target entropy, or a larger one where
 else a source would be repeated more often than a limit. A source's budget is dealt to blocks of
 about ``block_docs`` documents by their tokens. A block gives whole epochs of its documents, each a
-permutation of its own, and of the last epoch as many documents, in permuted order, as its budget
-holds.
+permutation of its own, and of the last epoch documents in permuted order, as many as its budget
+holds: ``TURNS`` times those that fit into what is left are taken up to the first that does not, so
+that one long document in their way does not cost the block its budget.
 
 All steps are DataFrame operations. Sources are summed up before the shuffle, and a source with a
 third of all rows is as many more blocks, so no task holds more than a block.
@@ -27,6 +28,8 @@ from .common import materialise, spread
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ways and rounds of the bisection: exponents are multiples of ARMS ** -ROUNDS.
 ARMS, ROUNDS = 32, 3
+#: Times that the last epoch of a block is gone through for documents that still fit.
+TURNS = 3
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -104,20 +107,24 @@ def plan(docs: DataFrame, entropy_share: float = 0.97, most_epochs: float = 4.0,
     whole = F.when(F.col("block_tokens") > 0, F.floor(F.col("given") / F.col("block_tokens"))).otherwise(0).cast("long")
     held = held.withColumn("given", given).withColumn("whole", whole)
     shuffled = F.md5(F.concat(F.col("whole").cast("string"), F.lit("|"), name))
-    running = F.sum("n_tokens").over(block.orderBy(shuffled, "text_key").rowsBetween(Window.unboundedPreceding, 0))
-    last = (running <= F.col("given") - F.col("whole") * F.col("block_tokens")).cast("int")
-    copies = held.withColumn("copies", F.col("whole").cast("int") + last).where("copies > 0")
+    in_turn = block.orderBy("shuffled", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("shuffled", shuffled).withColumn("last", F.lit(False)).withColumn("rest", F.col("given") - F.col("whole") * F.col("block_tokens"))
+    for _ in range(TURNS):
+        fits = ~F.col("last") & (F.col("n_tokens") <= F.col("rest"))
+        held = held.withColumn("running", F.sum(F.when(fits, F.col("n_tokens")).otherwise(0)).over(in_turn)).withColumn("taken", fits & (F.col("running") <= F.col("rest")))
+        used = F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0)).over(block)
+        held = held.withColumn("rest", F.col("rest") - used).withColumn("last", F.col("last") | F.col("taken"))
+    copies = held.withColumn("copies", F.col("whole").cast("int") + F.col("last").cast("int")).where("copies > 0")
     every = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     order = Window.partitionBy("source", "block", "epoch").orderBy(F.md5(F.concat(F.col("epoch").cast("string"), F.lit("|"), name)), "text_key")
     return every.select("doc_id", "source", "text_key", "n_tokens", "n_rows", "block", "epoch", F.row_number().over(order).cast("long").alias("place"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`plan` gives it."""
-    names = docs.columns
-    copies = plan(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.count("*").cast("int").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "_copies")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key"))
-    joined = keyed.join(copies.hint("shuffle_hash"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The rows of ``docs``, each as often as :func:`plan` gives it. They travel as one column, so no name can clash."""
+    copies = plan(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.count("*").cast("int").alias("copies")).alias("b")
+    key = [docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).alias("text_key")]
+    keyed = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"), *key).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.text_key") == F.col("b.text_key"))
+    joined = keyed.join(copies, same)
+    return joined.select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies")))).select("row.*")

@@ -120,9 +120,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, in place: the votes are counted again rather than joined."""
-    good = probabilities(materialise(rule_counts(docs), "rules"))
-    kept = sorted(k for k, p in good.items() if p >= GOOD_FROM)
+    """The rows of ``docs`` that are kept: each is written once with its pattern, and texts are counted once."""
 
     def run(batch) -> Iterator:
         import numpy as np
@@ -132,6 +130,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         for part in pieces_of(batch, "text"):
             counts = stats(part.column("text"))
-            yield part.filter(pa.array(~base_failed(counts) & np.isin(votes(counts), kept)))
-
-    return map_batches(docs, run, docs.schema)
+            code = np.where(base_failed(counts), -1, votes(counts))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(code, pa.int32())], names=["row", "pattern"])
+
+    packed = spread(docs).select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), "text")
+    rows = materialise(map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, pattern int"), "judged")
+    patterns = {x["pattern"]: x["count"] for x in rows.where("pattern >= 0").groupBy("pattern").count().collect()}
+    kept = sorted(k for k, p in estimate(patterns)[0].items() if p >= GOOD_FROM)
+    # at most 3 ** len(RULES) numbers
+    return rows.where(F.array_contains(F.array(*map(F.lit, kept)).cast("array<int>"), F.col("pattern"))).select("row.*")

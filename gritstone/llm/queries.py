@@ -68,12 +68,26 @@ WITH units AS (
   SELECT *, floor(budget / tokens * block_tokens + 0.5) AS given FROM held
 ), epochs AS (
   SELECT *, CAST(floor(given / block_tokens) AS BIGINT) AS whole FROM given
-), last AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY md5(whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING)
-    <= given - whole * block_tokens AS extra
-  FROM epochs
+), turn0 AS (
+  SELECT *, false AS last, given - whole * block_tokens AS rest FROM epochs
+), fits1 AS (
+  SELECT *, NOT last AND n_tokens <= rest AS fits FROM turn0
+), taken1 AS (
+  SELECT *, fits AND sum(CASE WHEN fits THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block ORDER BY md5(whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING) <= rest AS taken FROM fits1
+), turn1 AS (
+  SELECT * EXCLUDE (last, rest, fits, taken), last OR taken AS last, rest - sum(CASE WHEN taken THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block) AS rest FROM taken1
+), fits2 AS (
+  SELECT *, NOT last AND n_tokens <= rest AS fits FROM turn1
+), taken2 AS (
+  SELECT *, fits AND sum(CASE WHEN fits THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block ORDER BY md5(whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING) <= rest AS taken FROM fits2
+), turn2 AS (
+  SELECT * EXCLUDE (last, rest, fits, taken), last OR taken AS last, rest - sum(CASE WHEN taken THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block) AS rest FROM taken2
+), fits3 AS (
+  SELECT *, NOT last AND n_tokens <= rest AS fits FROM turn2
+), taken3 AS (
+  SELECT *, last OR fits AND sum(CASE WHEN fits THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block ORDER BY md5(whole || '|' || doc_id) ROWS UNBOUNDED PRECEDING) <= rest AS extra FROM fits3
 ), every AS (
-  SELECT doc_id, source, n_tokens, block, unnest(range(0, whole + CASE WHEN extra THEN 1 ELSE 0 END)) AS epoch FROM last
+  SELECT doc_id, source, n_tokens, block, unnest(range(0, whole + CASE WHEN extra THEN 1 ELSE 0 END)) AS epoch FROM taken3
 )
 SELECT doc_id, source, n_tokens, block, CAST(epoch AS INTEGER) AS epoch,
   row_number() OVER (PARTITION BY source, block, epoch ORDER BY md5(epoch || '|' || doc_id)) AS place

@@ -167,6 +167,67 @@ def test_em_finds_junk_that_single_rules_see():
     assert quality_rules.estimate({}) == ({}, {})
 
 
+def test_em_equals_one_that_goes_through_documents():
+    """The same mixture, estimated document by document in plain Python, gives the same posteriors."""
+    rng, names = random.Random(6), list(quality_rules.RULES)
+    docs = []
+    for _ in range(600):
+        votes = [2 if rng.random() < 0.15 else int(rng.random() > 0.02) for _ in names]
+        if rng.random() < 0.15:
+            votes[rng.randrange(3)] = 0
+        docs.append(tuple(votes))
+    seen = [[0.01, 0.01] for _ in names]
+    for d in docs:
+        for r, v in enumerate(d):
+            if v < 2:
+                seen[r][v] += 1
+    overall = [[x / sum(pair) * 0.98 + 0.01 for x in pair] for pair in seen]
+    tables = [[[0.02, 0.98] for _ in names]] + [[[0.95, 0.05] if r == c else list(overall[r]) for r in range(len(names))] for c in range(len(names))]
+    share = [0.8] + [0.2 / len(names)] * len(names)
+    for _ in range(200):
+        sums, hits, posterior = [0.01] * len(share), [[[0.01, 0.01] for _ in names] for _ in share], {}
+        for d in docs:
+            if d not in posterior:
+                each = [share[c] * math.prod(tables[c][r][v] for r, v in enumerate(d) if v < 2) for c in range(len(share))]
+                posterior[d] = [x / sum(each) for x in each]
+            for c, p in enumerate(posterior[d]):
+                sums[c] += p
+                for r, v in enumerate(d):
+                    if v < 2:
+                        hits[c][r][v] += p
+        new = [x / (len(docs) + 0.01 * len(share)) for x in sums]
+        tables = [[[x / sum(pair) for x in pair] for pair in rules] for rules in hits]
+        done, share = max(abs(a - b) for a, b in zip(new, share)) < 1e-10, new
+        if done:
+            break
+    good, told = quality_rules.estimate(collections.Counter(int("".join(map(str, d)), 3) for d in docs))
+    for d in set(docs):
+        assert abs(good[int("".join(map(str, d)), 3)] - posterior[d][0]) < 1e-6, d
+    assert abs(told["share_good"] - share[0]) < 1e-6
+
+
+def test_gam_scores_equal_sums_by_hand():
+    rng = np.random.default_rng(13)
+    x = rng.random((400, 4)).round(2)
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    found = quality_gam.score(model, x)
+    for row, p in zip(x, found):
+        total = model["intercept"]
+        for cut, table, v in zip(model["cuts"], model["tables"], row):
+            total += table[sum(c <= v for c in cut)]
+        for i, j, table in model["pairs"]:
+            total += table[sum(c <= row[i] for c in model["coarse"][i])][sum(c <= row[j] for c in model["coarse"][j])]
+        assert abs(p - 1 / (1 + math.exp(-total))) < 1e-9
+    # a tree's values are those of the best cuts that trying all of them finds
+    for _ in range(30):
+        g, w = rng.standard_normal(9), rng.random(9) + 0.1
+        gain = lambda a, b: g[a:b].sum() ** 2 / (w[a:b].sum() + 1)
+        k = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9))
+        want = [g[:k].sum() / (w[:k].sum() + 1)] * k + [g[k:].sum() / (w[k:].sum() + 1)] * (9 - k)
+        if gain(0, k) + gain(k, 9) - gain(0, 9) > 1e-6:
+            assert np.allclose(quality_gam._tree(g, w, 2), want)
+
+
 def ids_of(text, name, end=2):
     from tokenizers import Tokenizer
 
@@ -205,6 +266,18 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_deals_equal_rows_and_says_what_is_certified(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PARTITIONS", 2)
+    rows = [(None, "equal words " * 40)] * 400 + [(7, "w " * 30)] * 300 + [(k, "other " * (k % 200)) for k in range(100)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json"), capacity=256, each=50).toPandas()
+    assert found.piece.eq(0).sum() == 800 and (found.certified == (found.gap == 0)).all() and found.certified.any()
+    # as many groups as are wanted, however few partitions there are, and no group takes all equal rows
+    sizes = found[found.length < 256].groupby(found.sequence_id // (1 << 24)).size()
+    assert len(sizes) > 8 and sizes.max() < 200
+    for _, group in found.sort_values("offset").groupby("sequence_id"):
+        assert group.length.sum() <= 256 and (group.offset == group.length.cumsum() - group.length).all()
+
+
 def test_bounds_never_exceed_the_optimum():
     def fewest(sizes, capacity):
         best = len(sizes)
@@ -288,6 +361,24 @@ def test_mixing_weights(spark, none):
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_its_budget_beside_very_long_documents(spark):
+    rng = random.Random(3)
+    rows = [(k, "w " * (rng.choice((2_000, 8_000)) if k % 200 == 7 else 40), "big") for k in range(4000)] + [(k, "w " * 40, "small") for k in range(5000, 5400)]
+    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy_share=0.97).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    given = {r["source"]: r["n"] for r in plan}
+    total = sum(t.count("w") for _, t, _ in rows)
+    share = given["big"] / sum(given.values())
+    # two sources: an entropy of 0.97 or four epochs of the small one, whichever is less even
+    assert sum(given.values()) > 0.97 * total and given["small"] <= 4 * 400 * 40 + 40 and share > 0.5
+
+
+def test_mixing_bears_clashing_columns(spark):
+    rows = [(k, "a b c", f"s{k % 3}", k, k, k, k) for k in range(30)] + [(1, "a b c", "s1", 1, 1, 1, 1)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, source string, _id int, _source int, _copies int, copies int")
+    out = mixing.mix(table, cover=True)
+    assert out.schema == table.schema and {tuple(r) for r in out.collect()} == set(rows)
+
+
 def test_mixing_that_covers_keeps_every_document(docs):
     out = mixing.mix(docs, cover=True, most_epochs=2.0)
     assert out.columns == docs.columns
