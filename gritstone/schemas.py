@@ -15,7 +15,7 @@ def struct(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in columns.split(","))])
 
 
-BLOBS = struct("path string, part string, hint string, size long, content binary")
+BLOBS = struct("path string, part string, hint string, size long, content binary, error string")
 LINES = struct("path string, line long, grp long, text string")
 STRINGS = struct("path string, offset long, address string, value string, classes strings")
 EVENTS = struct("time timestamp, time_ns long, host string, user string, message string, severity int, sequence string, source string, category string, service string, fields fields")

@@ -289,39 +289,71 @@ def inflate(data: bytes, limits: Limits = Limits()) -> bytes:
     return data
 
 
+#: What is said of content that is not whole or not unpacked.
+CUT, DEEP, NESTED, BROKEN = "cut at the limit of expansion", "too many layers of compression", "too many levels of archives", "broken archive"
+
+
+def unpack(path: str, data: bytes, limits: Limits = Limits(), password: bytes | None = None, level: int = 0, error: str | None = None) -> Iterator[tuple[str, bytes, str | None]]:
+    """(path, content, error) of what is in a file, ``!`` before each member's name; plain files give themselves.
+
+    Members are given as they are read, so one at a time is held for each level. What a limit or a defect
+    keeps from being unpacked is given as it is, with the reason.
+    """
+    try:
+        content = inflate(data, limits)
+    except ValueError:
+        yield path, data, error or DEEP
+        return
+    if len(content) > len(data) and len(content) >= limits.expansion * len(data):
+        error = error or CUT
+    kind = kind_of(content, ARCHIVES)
+    if kind is None or kind not in MEMBERS or level >= limits.levels:
+        yield path, content, error or (NESTED if kind in MEMBERS else None)
+        return
+    most, count = limits.expansion * len(content), 0
+    try:
+        for member, body in MEMBERS[kind](content, password, most):
+            count += 1
+            yield from unpack(f"{path}!{member}", body, limits, password, level + 1, CUT if len(body) >= most else None)
+    except Exception:  # noqa: BLE001  a broken archive gives the members before the break, or itself
+        if not count:
+            yield path, content, error or BROKEN
+
+
 def expand(path: str, data: bytes, limits: Limits = Limits(), password: bytes | None = None) -> Iterator[tuple[str, bytes]]:
-    """(path, content) of what is in a file, ``!`` before each member's name; plain files give themselves."""
-    todo = [(path, data, 0)]
-    while todo:
-        name, content, level = todo.pop()
-        try:
-            content = inflate(content, limits)
-        except ValueError:
-            continue
-        kind = kind_of(content, ARCHIVES)
-        if kind is None or kind not in MEMBERS or level >= limits.levels:
-            yield name, content
-            continue
-        found = []
-        try:
-            for member, body in MEMBERS[kind](content, password, limits.expansion * len(content)):
-                found.append((f"{name}!{member}", body, level + 1))
-        except Exception:  # noqa: BLE001  a broken archive gives the members before the break, or itself
-            if not found:
-                yield name, content
-        todo += reversed(found)
+    """(path, content) as :func:`unpack` gives them."""
+    for name, content, _ in unpack(path, data, limits, password):
+        yield name, content
+
+
+#: Bytes and rows of a batch of unpacked content.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1_000
 
 
 def expand_blobs(blobs: DataFrame, limits: Limits = Limits(), password: bytes | None = None) -> DataFrame:
-    """(path, part, hint, size, content): every file or member of ``blobs`` (path, content)."""
+    """(path, part, hint, size, content, error): every file or member of ``blobs`` (path, content)."""
 
     def run(batches) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                # a frame per file bounds what one batch holds
-                rows = [(p, p.partition("!")[2], "", len(c), bytes(c)) for p, c in expand(path, bytes(content or b""), limits, password)]
-                yield pd.DataFrame(rows, columns=["path", "part", "hint", "size", "content"])
+        held: list[tuple] = []
 
-    return blobs.select("path", "content").mapInPandas(run, "path string, part string, hint string, size long, content binary")
+        def out():
+            columns = list(zip(*held, strict=True))
+            held.clear()
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["path", "part", "hint", "size", "content", "error"])
+
+        size = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for name, data, error in unpack(path.as_py(), content.as_py() or b"", limits, password):
+                    held.append((name, name.partition("!")[2], "", len(data), data, error))
+                    size += len(data)
+                    if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                        yield out()
+                        size = 0
+        if held:
+            yield out()
+
+    return blobs.select("path", "content").mapInArrow(run, "path string, part string, hint string, size long, content binary, error string")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gritstone.functions.digests import NATIVE, OTHER, digest, digests, known_bad, known_good, matching
 from gritstone.sources import binary, blobs, codecs, formats, sinks
 
-FOX = b"FOX\n0123 " + b"U" * 47 + b" 47!\nXOF"
+SAMPLE = b"first line\n" + b"0123456789 " * 7 + b"\nlast line"
 
 
 def zipped(**members):
@@ -66,10 +66,10 @@ def lzip(data):
 
 @pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstd, lzip])
 def test_compressions(pack):
-    assert codecs.inflate(pack(FOX)) == FOX
-    assert codecs.inflate(pack(pack(FOX))) == FOX
+    assert codecs.inflate(pack(SAMPLE)) == SAMPLE
+    assert codecs.inflate(pack(pack(SAMPLE))) == SAMPLE
     with pytest.raises(ValueError):
-        codecs.inflate(pack(pack(pack(FOX))))
+        codecs.inflate(pack(pack(pack(SAMPLE))))
 
 
 def test_old_unix_compression():
@@ -83,23 +83,61 @@ def test_expansion_is_cut_at_the_limit():
 
 @pytest.mark.parametrize("pack", [zipped, tarred, cpio, ar])
 def test_archives(pack):
-    assert list(codecs.expand("x", pack(**{"fox.txt": FOX, "b": b"2"}))) == [("x!fox.txt", FOX), ("x!b", b"2")]
+    assert list(codecs.expand("x", pack(**{"note.txt": SAMPLE, "b": b"2"}))) == [("x!note.txt", SAMPLE), ("x!b", b"2")]
 
 
 def test_nests_are_bounded():
-    data = FOX
+    data = SAMPLE
     for _ in range(4):
         data = zipped(a=data)
-    assert list(codecs.expand("x", data)) == [("x!a!a!a!a", FOX)]
-    path, rest = next(codecs.expand("x", zipped(a=data)))
-    assert path == "x!a!a!a!a" and rest[:2] == b"PK"
+    assert list(codecs.expand("x", data)) == [("x!a!a!a!a", SAMPLE)]
+    path, rest, error = next(codecs.unpack("x", zipped(a=data)))
+    assert path == "x!a!a!a!a" and rest[:2] == b"PK" and error == codecs.NESTED
+
+
+def test_what_is_not_unpacked_is_given_with_the_reason(spark):
+    deep = gzip.compress(gzip.compress(gzip.compress(SAMPLE)))
+    bomb = zipped(a=bytes(1_000_000))
+    rows = spark.createDataFrame([("deep", bytearray(deep)), ("bomb", bytearray(bomb)), ("broken", bytearray(zipped(a=SAMPLE)[:40])), ("plain", bytearray(SAMPLE)), ("none", None)], "path string, content binary")
+    found = {x["path"]: x for x in codecs.expand_blobs(rows).collect()}
+    assert {k: x["error"] for k, x in found.items()} == {"deep": codecs.DEEP, "bomb!a": codecs.CUT, "broken": codecs.BROKEN, "plain": None, "none": None}
+    assert bytes(found["deep"]["content"]) == deep and len(found["bomb!a"]["content"]) == 100 * len(bomb) and found["bomb!a"]["part"] == "a"
+
+
+def test_each_path_is_read_by_its_own_pattern(spark, tmp_path):
+    for name in ("a/one.dd", "a/b/two.dd", "a/b/c/three.dd", "a/b/two.log", "y/two.evtx", "y/+ %41.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(SAMPLE)
+    (tmp_path / "y" / "m.zip").write_bytes(zipped(x=b"1", z=b"2"))
+    (tmp_path / "y" / "empty.dd").write_bytes(b"")
+    root = str(tmp_path)
+    names = lambda rows: sorted(x["path"].removeprefix(root) for x in rows.select("path").collect())
+    assert names(blobs.scan(spark, f"{root}/a/**/*.dd", f"{root}/y/two.evtx")) == ["/a/b/c/three.dd", "/a/b/two.dd", "/a/one.dd", "/y/two.evtx"]
+    assert names(blobs.scan(spark, f"{root}/**/b/*.dd")) == ["/a/b/two.dd"]
+    assert names(blobs.scan(spark, f"{root}/a/b", f"{root}/a/**", f"{root}/a/one.dd", f"{root}/no/such", f"{root}/no*")) == ["/a/b/c/three.dd", "/a/b/two.dd", "/a/b/two.log", "/a/one.dd"]
+    assert names(blobs.scan(spark, f"{root}/{{a,y}}/*.[de]*")) == ["/a/one.dd", "/y/empty.dd", "/y/two.evtx"]
+    assert blobs.scan(spark, f"{root}/none").count() == 0 and names(blobs.scan(spark, f"{root}/a", depth=1)) == ["/a/b/two.dd", "/a/b/two.log", "/a/one.dd"]
+    assert names(blobs.load(spark, f"{root}/y/m.zip!x", f"{root}/a/one.dd")) == ["/a/one.dd", "/y/m.zip!x"]
+    assert names(blobs.load(spark, f"{root}/y/m.zip!x", f"{root}/y/m.zip")) == ["/y/m.zip!x", "/y/m.zip!z"]
+    assert tuple(blobs.total_size(blobs.scan(spark, f"{root}/y/two.evtx", f"{root}/y/empty.dd")).first()) == (2, len(SAMPLE))
+    # no exchange carries content
+    plan = blobs.load(spark, f"{root}/a", f"{root}/y")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange" in x and "content" in x] and "Aggregate" not in plan
+
+
+def test_standard_input_is_a_path(spark, monkeypatch):
+    class Input:
+        buffer = io.BytesIO(SAMPLE)
+
+    monkeypatch.setattr("sys.stdin", Input())
+    assert [(x["path"], bytes(x["content"])) for x in blobs.load(spark, "-").collect()] == [("-", SAMPLE)]
 
 
 def test_broken_input_never_raises():
     import random
 
     random.seed(3)
-    for data in [random.randbytes(n) for n in range(10)] + [zipped(a=FOX)[:40], m + random.randbytes(50) if (m := b"") else b""] + [o * b"\0" + m + random.randbytes(60) for _, o, m in [*codecs.DEFLATES, *codecs.ARCHIVES] if o < 300]:
+    for data in [random.randbytes(n) for n in range(10)] + [zipped(a=SAMPLE)[:40], m + random.randbytes(50) if (m := b"") else b""] + [o * b"\0" + m + random.randbytes(60) for _, o, m in [*codecs.DEFLATES, *codecs.ARCHIVES] if o < 300]:
         list(codecs.expand("x", data))
     for _, offset, magic in codecs.CONVERTERS:
         list(binary.rows_of(bytes(offset) + magic + random.randbytes(200)))
@@ -115,13 +153,13 @@ def test_detection_is_the_same_in_the_plan(spark):
 
 def test_loading(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
-    (tmp_path / "in" / "a.zip").write_bytes(zipped(**{"x.txt": gzip.compress(FOX), "y": b"\0"}))
-    (tmp_path / "in" / "deep" / "b.txt").write_bytes(FOX)
+    (tmp_path / "in" / "a.zip").write_bytes(zipped(**{"x.txt": gzip.compress(SAMPLE), "y": b"\0"}))
+    (tmp_path / "in" / "deep" / "b.txt").write_bytes(SAMPLE)
     (tmp_path / "in" / "empty").write_bytes(b"")
     root = str(tmp_path / "in")
     found = {x["path"].removeprefix(root): x for x in blobs.load(spark, root).collect()}
     assert set(found) == {"/a.zip!x.txt", "/a.zip!y", "/deep/b.txt", "/empty"}
-    assert bytes(found["/a.zip!x.txt"]["content"]) == FOX and found["/a.zip!x.txt"]["hint"] == "text" and found["/a.zip!y"]["hint"] == ""
+    assert bytes(found["/a.zip!x.txt"]["content"]) == SAMPLE and found["/a.zip!x.txt"]["hint"] == "text" and found["/a.zip!y"]["hint"] == ""
     assert [x["path"].removeprefix(root) for x in blobs.load(spark, f"{root}/a.zip!x.txt").collect()] == ["/a.zip!x.txt"]
     assert [x["path"].removeprefix(root) for x in blobs.load(spark, f"{root}/a.zip", raw=3).collect()] == ["/a.zip"]
     (tmp_path / "in" / "t.mft").write_bytes(record(7, "notes.txt", [filetime(9)] * 4, [filetime(9)] * 4))
