@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import title_key
+from .lines import first_of_each
 
 KEY = ("host", "message", "sequence")
 
@@ -42,19 +43,20 @@ def translate(events: DataFrame, templates: DataFrame, event_id: Column) -> Data
     left to the optimiser, which knows its size.
     """
     told = templates.select(F.col("service").alias("_service"), F.col("event_id").alias("_event_id"), F.col("template").alias("_template"))
-    keyed = events.withColumn("_id", event_id.cast("long"))
+    keyed = events.withColumn("_id", event_id.try_cast("long"))
     joined = keyed.join(told, (keyed["service"] == told["_service"]) & (keyed["_id"] == told["_event_id"]), "left")
     message = F.coalesce("_template", F.concat(F.lit("Undescribed event: "), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     return joined.withColumn("message", message).drop("_id", "_service", "_event_id", "_template")
 
 
-def expand_params(message: Column, fields: Column, most: int = 20) -> Column:
+def expand_params(message: Column, fields: Column) -> Column:
     """``$1``, ``$2`` … replaced by the fields param1, param2 … up to the first that is missing.
 
     A number is replaced as a whole, so ``$1`` leaves ``$10`` alone. Messages without ``$1`` stay as
     they are.
     """
-    numbers = F.sequence(F.lit(1), F.lit(most))
+    # there are no more numbers without a gap than there are such fields
+    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.map_filter(fields, lambda k, v: F.rlike(k, F.lit("^param[0-9]+$"))))))
     name = lambda k: F.concat(F.lit("param"), k.cast("string"))
     given = F.aggregate(numbers, F.lit(0), lambda n, k: F.when((n == k - 1) & F.map_contains_key(fields, name(k)), k).otherwise(n))
 
@@ -71,12 +73,9 @@ def uniq(events: DataFrame, *ties: str) -> DataFrame:
     """The first event, by time, of each (host, message, sequence).
 
     It stands before any filter: a first occurrence that a filter drops later still hides its
-    repeats. The minimum is combined before the shuffle, so a frequent event is no hot key.
+    repeats. See :func:`.lines.first_of_each`.
     """
-    rest = [c for c in events.columns if c not in KEY]
-    first = F.min_by(F.struct(*rest), F.struct("time_ns", *ties)).alias("_first")
-    found = events.groupBy(*KEY).agg(first)
-    return found.select(*[c if c in KEY else F.col(f"_first.{c}").alias(c) for c in events.columns])
+    return first_of_each(events, KEY, "time_ns", *ties)
 
 
 def in_time_range(events: DataFrame, least_ns: int | None = None, most_ns: int | None = None) -> DataFrame:

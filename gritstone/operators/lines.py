@@ -53,15 +53,20 @@ def mark_groups(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("starts_group", F.coalesce(before != F.col("grp"), F.lit(False)))
 
 
-def first_of_each(rows: DataFrame, value: str, *order: str) -> DataFrame:
-    """For each value the row that comes first in ``order``; ties by nothing else, so make it total.
+def first_of_each(rows: DataFrame, value: str | tuple[str, ...], *order: str) -> DataFrame:
+    """For each value (of one column or several) the row that comes first in ``order``; make it total.
 
     The minimum is combined before the shuffle, so a value that most rows have is a few rows a task;
-    a window would gather them all.
+    a window would gather them all. Rows are grouped by two 64-bit hashes of the value, as first-wins
+    sets of hashes do: sorting numbers costs a fraction of sorting texts, and two values among 1e12
+    share both with a probability of 1e-15.
     """
-    rest = [c for c in rows.columns if c != value]
-    found = rows.groupBy(value).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    return found.select(*[value if c == value else F.col(f"_first.{c}").alias(c) for c in rows.columns])
+    keys = [value] if isinstance(value, str) else list(value)
+    missing = [F.col(x).isNull() for x in keys]
+    names = [F.xxhash64(*keys, *missing).alias("_one"), F.xxhash64(F.lit(1), *reversed(keys), *missing).alias("_two")]
+    whole = rows.select(*names, F.struct(*order).alias("_order"), F.struct(*rows.columns).alias("_row"))
+    found = whole.groupBy("_one", "_two").agg(F.min_by("_row", "_order").alias("_first"))
+    return found.select("_first.*")
 
 
 def head_lines(lines: DataFrame, count: int) -> DataFrame:
@@ -80,10 +85,15 @@ def limit_bytes(blobs: DataFrame, limit: Limit, content: str = "content") -> Dat
     return blobs.withColumn(content, limit.of_bytes(F.col(content)))
 
 
-def pad_numbers(lines: DataFrame, key: str) -> DataFrame:
-    """``number``: the line number with zeros in front, as wide as the key's last number."""
-    width = F.length(F.max("line").over(Window.partitionBy(key)).cast("string"))
-    return lines.withColumn("number", F.lpad(F.col("line").cast("string"), width, F.lit("0")))
+def padded_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, number, text): lines with ``number``, the line number with zeros in front, as wide as the key's last one.
+
+    The last number is the size of a text's own array of lines, so a long text is no task of its own.
+    """
+    whole = texts.select(F.col(key), F.explode(F.array(split_lines(F.col(text)))).alias("lines"))
+    rows = whole.select(key, F.length(F.size("lines").cast("string")).alias("width"), F.posexplode("lines").alias("at", "text"))
+    line = F.col("at") + 1
+    return rows.select(key, line.cast("long").alias("line"), F.lpad(line.cast("string"), F.col("width"), F.lit("0")).alias("number"), "text")
 
 
 def render_lines(lines: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import digests
 from ..functions.scalars import sanitize, truncate
 
 VENDOR, PRODUCT, VERSION = "Gritstone", "gritstone", "1.0.0"
@@ -13,6 +14,11 @@ VENDOR, PRODUCT, VERSION = "Gritstone", "gritstone", "1.0.0"
 ECS_VERSION = "9.1.0"
 
 
+def output_match(rows: DataFrame, rendered: Column, pattern: str) -> DataFrame:
+    """Rows in whose rendered text, as it would be printed, the pattern is found."""
+    return rows.where(F.rlike(rendered, F.lit(pattern)))
+
+
 def triage() -> Column:
     """``time user@host [sequence] category: message`` with microseconds."""
     time = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -59,7 +65,7 @@ def ecs(original: Column | None = None) -> Column:
     event = F.struct(
         _given("sequence").alias("id"), F.lit("event").alias("kind"), _given("source").alias("module"), F.concat_ws(".", "source", "category").alias("dataset"),
         F.when(F.col("severity") != 0, F.col("severity").cast("long")).alias("severity"), _given("service").alias("provider"), original.alias("original"),
-        F.lower(F.lpad(F.hex(F.xxhash64(original)), 16, "0")).alias("hash"), F.when(F.col("source") == "eventlog", F.try_element_at("fields", F.lit("EventID"))).alias("code"),
+        digests(F.encode(original, "UTF-8"), ["MURMUR3"])["MURMUR3"].alias("hash"), F.when(F.col("source") == "eventlog", F.try_element_at("fields", F.lit("EventID"))).alias("code"),
     )
     return F.struct(
         F.struct(F.lit(ECS_VERSION).alias("version")).alias("ecs"), F.struct(F.lit(PRODUCT).alias("type"), F.lit(VERSION).alias("version")).alias("agent"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, sanitize
+from ..schemas import TIMELINE
 
 TIMES = ("m_time", "a_time", "c_time", "b_time")
 
@@ -46,10 +47,38 @@ def mode(directory: Column, read_only: Column, link: Column | None = None) -> Co
     return F.concat(kind.when(directory, "d").otherwise("-"), F.when(read_only, "r-xr-xr-x").otherwise("rwxrwxrwx"))
 
 
-def run_entries(runs: DataFrame) -> DataFrame:
+def run_entries(runs: DataFrame, *keep: str) -> DataFrame:
     """Entries of program runs (name, size, run_count, run_times, files): for each run the program, then its files."""
-    each = runs.select("name", "size", "run_count", "files", F.posexplode("run_times").alias("run", "a_time"))
+    each = runs.select(*keep, "name", "size", "run_count", "files", F.posexplode("run_times").alias("run", "a_time"))
     program = F.struct(F.col("name").alias("name"), F.col("size").alias("size"), (F.col("run_count") == 0).alias("anomaly"))
     used = F.transform("files", lambda f: F.struct(f.alias("name"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("anomaly")))
-    rows = each.select(F.col("name").alias("program"), "run", "a_time", F.posexplode(F.concat(F.array(program), used)).alias("nth", "entry"))
-    return rows.select("program", "run", "nth", "entry.name", "entry.size", "entry.anomaly", "a_time")
+    rows = each.select(*keep, F.size("files").alias("of"), F.col("name").alias("program"), "run", "a_time", F.posexplode(F.concat(F.array(program), used)).alias("nth", "entry"))
+    return rows.select(*keep, *(["of"] if keep else []), "program", "run", "nth", "entry.name", "entry.size", "entry.anomaly", "a_time")
+
+
+def entries(parsed: DataFrame) -> DataFrame:
+    """Timeline rows (path, nth and the columns of the schema) of parsed files (path, nth, kind, row as JSON).
+
+    File tables and shortcuts are an entry a record; a prefetch file is, for each run, the program and then
+    the files it used, with the time of the run as that of access. Other kinds give nothing.
+    """
+    names = [x.name for x in TIMELINE]
+    shape = "name string, inode string, size long, mode string, m_time string, a_time string, c_time string, b_time string, anomaly boolean"
+    one = parsed.where(F.col("kind").isin("mft", "lnk")).select("path", "nth", F.from_json("row", shape).alias("e"))
+    time = lambda x: F.col(f"e.{x}").try_cast("timestamp").alias(x)
+    files = one.select("path", "nth", "e.name", F.coalesce("e.inode", F.lit("")).alias("inode"), F.greatest(F.coalesce("e.size", F.lit(0)), F.lit(0)).alias("size"), "e.mode", *map(time, TIMES), F.coalesce("e.anomaly", F.lit(False)).alias("anomaly"))
+    shape = "name string, size long, run_count long, run_times array<string>, files array<string>"
+    run = parsed.where("kind = 'pf'").select("path", F.from_json("row", shape).alias("e"))
+    given = run.select("path", "e.name", "e.size", "e.run_count", F.transform("e.run_times", lambda x: x.try_cast("timestamp")).alias("run_times"), F.coalesce("e.files", F.array().cast("array<string>")).alias("files"))
+    rows = run_entries(given, "path")
+    none = F.lit(None).cast("timestamp")
+    runs = rows.select("path", (F.col("run") * (F.lit(1) + F.col("of")) + F.col("nth")).cast("long").alias("nth"), "name", F.lit("").alias("inode"), "size", F.lit(None).cast("string").alias("mode"), none.alias("m_time"), "a_time", none.alias("c_time"), none.alias("b_time"), "anomaly")
+    return files.unionByName(runs).select("path", "nth", *names)
+
+
+def file_timeline(blobs: DataFrame, sort: bool = True) -> DataFrame:
+    """The timeline of blobs (path, content): file tables, shortcuts and prefetch files, in order within each file."""
+    from ..sources.binary import parse
+
+    found = entries(parse(blobs))
+    return ordered(found, "path", "nth") if sort else found

@@ -245,6 +245,22 @@ def sigma_keywords(spark, sf_dir):
     return documents(spark, sf_dir).withColumn("message", F.col("text")).where(match).select("doc_id")
 
 
+@query(f"""WITH {EVENTS}, templates(service, id, template) AS (VALUES {TEMPLATES_SQL})
+SELECT epoch_us(e.time) * 1000 AS time_ns, e.service, event_id, CASE WHEN template IS NULL THEN 'Undescribed event: ' || CAST(event_id AS BIGINT) ELSE replace(replace(template, '$1', usr), '$2', k) END AS message, severity
+FROM events_norm e LEFT JOIN templates t ON e.service = t.service AND CAST(e.event_id AS BIGINT) = t.id""")
+def hunt_carved_messages(spark, sf_dir):
+    """Records as they are carved from event logs, their messages told by templates with parameters."""
+    from ..sources import evtx
+
+    rows = hunted(spark, sf_dir)
+    level = F.when(F.col("category") == "error", "1").when(F.col("category") == "purchase", "2").when(F.col("category") == "signup", "3").when(F.col("category") == "click", "4").otherwise("5")
+    service = F.when(F.col("service") == "unknown", "").otherwise(F.col("service"))
+    fields = F.create_map(*[x for n, v in (("EventID", F.col("fields")["EventID"]), ("Level", level), ("ProviderName", service), ("param1", F.col("user")), ("param2", F.col("fields")["k"])) for x in (F.lit(n), v)])
+    table = spark.createDataFrame(TEMPLATES, "service string, event_id long, template string")
+    told = evtx.normalise(rows.select("source", "time_ns", "sequence", fields.alias("fields")), table)
+    return told.select("time_ns", "service", F.col("fields")["EventID"].alias("event_id"), "message", "severity")
+
+
 # ---- lines --------------------------------------------------------------------------------------
 
 
@@ -293,7 +309,7 @@ def tail_lines(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT doc_id, line, lpad(CAST(line AS VARCHAR), CAST(length(CAST(max(line) OVER (PARTITION BY doc_id) AS VARCHAR)) AS INTEGER), '0') AS number FROM lines")
 def pad_line_numbers(spark, sf_dir):
-    return lines.pad_numbers(lines.number_lines(documents(spark, sf_dir), "doc_id"), "doc_id").select("doc_id", "line", "number")
+    return lines.padded_lines(documents(spark, sf_dir), "doc_id").select("doc_id", "line", "number")
 
 
 @query("SELECT doc_id, substr(hex(encode(text)), 1, 62) AS head FROM documents WHERE text IS NOT NULL")
@@ -316,9 +332,9 @@ raw AS (
 )"""
 
 
-def dumped(spark, sf_dir):
+def dumped(spark, sf_dir, before=0):
     data = documents(spark, sf_dir).select("doc_id", F.encode(F.concat(F.lit("U" * 64), "text"), "UTF-8").alias("content"))
-    return hexdump.rows_of(data, "doc_id")
+    return hexdump.rows_of(data, "doc_id", before=before)
 
 
 @query(f"WITH {HEX} SELECT doc_id, \"offset\", regexp_replace(chunk, '(..)', '\\1 ', 'g') AS values FROM rows")
@@ -339,7 +355,13 @@ def hexdump_pretty(spark, sf_dir):
 ) SELECT doc_id, "offset", CASE WHEN coalesce(chunk = one, false) THEN '*' ELSE regexp_replace(chunk, '(..)', '\\1 ', 'g') END AS values
 FROM before WHERE NOT (coalesce(chunk = one, false) AND coalesce(one = two, false))""")
 def hexdump_squeeze(spark, sf_dir):
-    return hexdump.squeeze(hexdump.plain(dumped(spark, sf_dir)), "doc_id").select("doc_id", "offset", "values")
+    return hexdump.squeeze(hexdump.plain(dumped(spark, sf_dir, 2))).select("doc_id", "offset", "values")
+
+
+@query(f"""WITH {HEX}, spelt AS (SELECT doc_id, "offset", regexp_replace(chunk, '(..)', '\\1 ', 'g') AS values FROM rows)
+SELECT * FROM spelt WHERE contains(values, '65 72 20 ')""")
+def hex_row_regex(spark, sf_dir):
+    return hexdump.grep(hexdump.plain(dumped(spark, sf_dir)), "65 72 20 ").select("doc_id", "offset", "values")
 
 
 # ---- text as displayed --------------------------------------------------------------------------
@@ -375,6 +397,12 @@ def str_minmax_chunks(spark, sf_dir):
     return strings.carve_text(documents(spark, sf_dir), "doc_id", least=6, most=8)
 
 
+@query(f"WITH {CARVED % 6}, found AS (SELECT doc_id, unnest(range(1, len(runs) + 1)) AS nth, unnest(runs) AS value FROM runs) SELECT doc_id, nth, value FROM found WHERE regexp_matches(value, '[0-9]{{3}}')")
+def str_regex(spark, sf_dir):
+    found = strings.carve_text(documents(spark, sf_dir), "doc_id", least=6, most=1 << 30)
+    return found.where(F.rlike("value", F.lit("[0-9]{3}")))
+
+
 @query(r"WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '[\x20-\x7E]{12,}')) AS value FROM pages) SELECT page_id, value FROM found ORDER BY value, page_id")
 def str_sorted(spark, sf_dir):
     pages = spread(read(spark, sf_dir, "pages").select("page_id", "html"))
@@ -384,9 +412,9 @@ def str_sorted(spark, sf_dir):
 
 #: One string for each class that the tables' own text hardly shows.
 SAMPLES = [
-    "2001:0db8:85a3:08d3:1319:8a2e:0370:7344", "127.0.0.1", "12:34:56:78:90:ab", "news.example.org", "reply@example.org", r"\\server\share\dev.txt", "https://example.org/a?b=c#d", "550e8400-e29b-11d4-a716-446655440000",
-    "S-1-5-21-3623811015-3361044348-30300820-1013", "002130-563959-533643-315590-484044-259380-247291-123456", r"HKEY_LOCAL_MACHINE\SOFTWARE\Vendor\Windows\CurrentVersion", r"C:\Windows\System32\winevt\Logs",
-    "1" + "A" * 30, "Wms" + "a" * 94, "2A" + "b" * 93, "D" + "c" * 94, "X" + "d" * 33, "6" + "e" * 94, "4A" + "f" * 93, "Sumoo" + "g" * 94, "4111 1111 1111 1111", "", "plain words", "::1", "a\\b", "@", "4A" + "f" * 104,
+    "fd12:3456:789a:0001:0002:00ff:fe00:0042", "192.0.2.4", "0a:1b:2c:3d:4e:5f", "files.archive.example", "someone@mail.example", r"\\depot\team\notes.doc", "http://archive.example/list?page=2#end", "3f2a9c1e-7b64-4d0f-9a58-c2e1d4b7a690",
+    "S-1-5-21-1410065408-2115098112-1000000007-1001", "111111-222222-333333-444444-555555-666666-077777-088888", r"HKEY_CURRENT_USER\Software\Example\Settings", r"D:\Data\Reports\2024",
+    "1" + "B" * 30, "Wms" + "h" * 94, "2A" + "i" * 93, "D" + "j" * 94, "X" + "k" * 33, "6" + "m" * 94, "4A" + "n" * 93, "Sumoo" + "o" * 94, "5500 0000 0000 0004", "", "nothing special", "::2", "c\\d", "@", "4A" + "p" * 104,
 ]
 
 
@@ -477,6 +505,14 @@ def info_entropy_range(spark, sf_dir):
     return stats.in_entropy_range(stats.file_stats(contents(spark, sf_dir), "doc_id"), 3.9, 4.1).select("doc_id", "entropy")
 
 
+@query(f"{FILES} SELECT doc_id, lpad(CAST(lines AS VARCHAR), 7, ' ') || 'l ' AS head FROM info WHERE regexp_matches(CAST(lines AS VARCHAR) || 'l ', '1[0-9]l ')")
+def output_regex(spark, sf_dir):
+    """The statistics whose printed line holds two digits of lines with a 1 first."""
+    info = stats.file_stats(contents(spark, sf_dir), "doc_id").where("bytes is not null")
+    printed = stats.render(F.col("bytes"), F.col("lines"), F.col("entropy"))
+    return render.output_match(info.withColumn("printed", printed), F.col("printed"), "1[0-9]l ").select("doc_id", F.regexp_extract("printed", "^ *[0-9]+l ", 0).alias("head"))
+
+
 @query("""SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || 'b' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || 'k' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || 'm'
   ELSE printf('%.1f', n / 1073741824.0) || 'g' END AS size FROM (SELECT doc_id, n_chars * 64 AS n FROM documents)""")
 def humanize_sizes(spark, sf_dir):
@@ -507,7 +543,19 @@ def hash_map(spark, sf_dir):
     return each.select("doc_id", F.explode("hash").alias("name", "digest"))
 
 
-@query()
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32 with the reflected polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+@query(f"""WITH bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
+) SELECT doc_id, printf('%08x', xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, {_crc_table()}[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295)) AS crc32 FROM bytes""")
 def hash_crc32(spark, sf_dir):
     return contents(spark, sf_dir).select("doc_id", digests.digests(F.col("content"), ["CRC32-IEEE"])["CRC32-IEEE"].alias("crc32"))
 
@@ -666,6 +714,32 @@ def timeline_runs(spark, sf_dir):
     return rows.select("program", "run", "nth", F.when(F.col("nth") == 0, "program").otherwise(F.col("name")).alias("name"), F.unix_micros("a_time").alias("started"), "anomaly")
 
 
+@query(f"""WITH {ENTRIES}, parsed AS (
+  SELECT 'table' AS path, row_number() OVER (ORDER BY name) AS nth, * FROM entries
+), runs AS (
+  SELECT o_custkey, list(o_orderdate ORDER BY o_orderdate, o_orderkey)[:3] AS times, list(o_orderstatus ORDER BY o_orderdate, o_orderkey)[:2] AS files FROM orders GROUP BY o_custkey
+), each AS (
+  SELECT o_custkey, unnest(times) AS started, unnest(range(0, len(times))) AS run, files FROM runs
+), used AS (
+  SELECT o_custkey, started, run, unnest(range(0, len(files) + 1)) AS nth, unnest(['run' || o_custkey] || files) AS name FROM each
+)
+SELECT name, inode, size, mode, epoch_us(m_time) AS m, epoch_us(a_time) AS a, epoch_us(c_time) AS c, epoch_us(b_time) AS b, mode = '-r-xr-xr-x' AS anomaly FROM parsed
+UNION ALL SELECT name, '', CASE WHEN nth = 0 THEN o_custkey ELSE 0 END, NULL, NULL, epoch_us(started), NULL, NULL, nth = 0 AND o_custkey % 3 = 0 FROM used""")
+def timeline_parsed(spark, sf_dir):
+    """Timeline rows of parsed files: records of a file table, and prefetch files with their runs."""
+    stamp = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    table = entries(spark, sf_dir)
+    record = F.struct("name", "inode", "size", "mode", *[stamp(x).alias(x) for x in timeline.TIMES], (F.col("mode") == "-r-xr-xr-x").alias("anomaly"))
+    files = table.select(F.lit("table").alias("path"), F.lit(0).cast("long").alias("nth"), F.lit("mft").alias("kind"), F.to_json(record).alias("row"))
+    order = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("o"))
+    used = F.slice(F.transform("o", lambda x: x["o_orderstatus"]), 1, 2).alias("files")
+    times = F.slice(F.transform("o", lambda x: stamp(x["o_orderdate"])), 1, 3).alias("run_times")
+    run = F.struct(F.concat(F.lit("run"), "o_custkey").alias("name"), F.col("o_custkey").alias("size"), (F.col("o_custkey") % 3).alias("run_count"), times, used)
+    parsed = files.union(order.select(F.concat(F.lit("pf"), "o_custkey"), F.lit(0).cast("long"), F.lit("pf"), F.to_json(run)))
+    rows = timeline.entries(parsed)
+    return rows.select("name", "inode", "size", "mode", *[F.unix_micros(f"{x}_time").alias(x) for x in "macb"], "anomaly")
+
+
 # ---- directories --------------------------------------------------------------------------------
 
 
@@ -725,12 +799,12 @@ def ad_history_rows(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT {ENVELOPE_SQL} FROM events_norm WHERE {CRITICAL}")
 def stream_hunt(spark, sf_dir):
     """The stream over the whole table once, gathered in a table of the shared warehouse or checkpoint folder."""
-    import tempfile
     import uuid
 
+    from ..shipping import shared_folder
     from ..streaming import hunt as stream
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(stream.EVENT_ROWS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     found = stream.hunt_stream(normalise(rows)).select(*ENVELOPE)
     stream.start(found, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state", once=True).awaitTermination()

@@ -1,7 +1,9 @@
-"""Makes the package importable on executors that do not have it installed."""
+"""What executors and driver share: the package's modules, and a folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +25,15 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; a temporary one only in local mode, which is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="gritstone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder, True)
+    return folder.rstrip("/")

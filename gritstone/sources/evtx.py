@@ -234,6 +234,28 @@ def chunks(data: bytes) -> Iterator[bytes]:
         at = data.find(CARVED["evtx"], at + len(CARVED["evtx"]))
 
 
+# The fields that may hold an entry's time, in the order in which they are asked.
+TIME_FIELDS = ("_SOURCE_REALTIME_TIMESTAMP", "SYSLOG_TIMESTAMP", "Timestamp")
+
+
+def journal_ns(fields: dict[str, str], written: int) -> int:
+    """The time of a journal entry: the first field that is a time, in microseconds or written out, else when it was written."""
+    from datetime import datetime, timezone
+
+    for name in TIME_FIELDS:
+        value = fields.get(name, "").strip()
+        if value.isdigit():
+            return int(value) * 1000
+        for read in (datetime.fromisoformat, lambda x: datetime.strptime(f"{datetime.fromtimestamp(written / 1e6, timezone.utc).year} {x}", "%Y %b %d %H:%M:%S")):
+            try:
+                time = read(value)
+            except ValueError:
+                continue
+            time = time if time.tzinfo else time.replace(tzinfo=timezone.utc)
+            return int(time.timestamp()) * 1_000_000_000 + time.microsecond * 1000
+    return int(written) * 1000
+
+
 def raw_events(data: bytes) -> Iterator[tuple[str, int, str, dict[str, str]]]:
     """(source, nanoseconds, sequence, fields) of all event logs and journals in the data."""
     for chunk in chunks(data):
@@ -244,15 +266,17 @@ def raw_events(data: bytes) -> Iterator[tuple[str, int, str, dict[str, str]]]:
         try:
             for row in journal(data[at:]):
                 fields = row["fields"]
-                time = next((fields[k] for k in ("_SOURCE_REALTIME_TIMESTAMP",) if fields.get(k, "").isdigit()), row["realtime"])
-                yield "journal", int(time) * 1000, str(row["sequence"]), fields
+                yield "journal", journal_ns(fields, row["realtime"]), str(row["sequence"]), fields
         except (struct.error, IndexError, ValueError):
             pass
         at = data.find(CARVED["journal"], at + len(CARVED["journal"]))
 
 
-def carve_events(blobs: DataFrame) -> DataFrame:
-    """Events of the engine's schema from blobs (path, content): carved in Python, normalised by Columns."""
+def carve_events(blobs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """Events of the engine's schema from blobs (path, content): carved in Python, normalised by Columns.
+
+    ``templates`` (service, event_id, template) describe the events of event logs.
+    """
 
     def run(batches) -> Iterator:
         import pandas as pd
@@ -270,11 +294,11 @@ def carve_events(blobs: DataFrame) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names)
 
     raw = blobs.select("content").mapInPandas(run, "source string, time_ns long, sequence string, fields map<string,string>")
-    return normalise(raw)
+    return normalise(raw, templates)
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """The schema's columns from (source, time_ns, sequence, fields)."""
+def normalise(raw: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """The schema's columns from (source, time_ns, sequence, fields), messages told by ``templates`` where they can be."""
     given = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in names], F.lit(""))
     log = F.col("source") == "eventlog"
     number = lambda name: F.try_element_at("fields", F.lit(name)).try_cast("int")
@@ -287,4 +311,9 @@ def normalise(raw: DataFrame) -> DataFrame:
         F.when(log, given("Channel")).otherwise(given("_TRANSPORT")).alias("category"), E.known_service(F.when(log, given("ProviderName")).otherwise(given("_COMM", "SYSLOG_IDENTIFIER"))).alias("service"),
         F.when(log, F.col("fields")).otherwise(E.journal_fields(F.col("fields"))).alias("fields"),
     )
-    return rows.select(*EVENTS.names)
+    rows = rows.select(*EVENTS.names)
+    if templates is None:
+        return rows
+    logs = E.translate(rows.where("source = 'eventlog'"), templates, F.try_element_at("fields", F.lit("EventID")))
+    logs = logs.withColumn("message", E.expand_params(F.col("message"), F.col("fields")))
+    return logs.select(*EVENTS.names).unionByName(rows.where("source <> 'eventlog'"))

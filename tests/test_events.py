@@ -115,3 +115,59 @@ def test_lookup_in_word_tables(spark):
     words = spark.createDataFrame([("bb", "secret")], "digest string, word string")
     found = sorted(x[0] for x in directory.look_up(data, words, "lm_hash", "nt_hash").select(directory.secret_line()).collect())
     assert found == ["u:1:aa:secret:::", f"v:2:{directory.EMPTY_LM}:cc:::"]
+
+
+def test_params_have_no_upper_number(spark):
+    fields = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.struct(F.concat(F.lit("param"), k.cast("string")), F.concat(F.lit("v"), k.cast("string")))))
+    told = spark.range(1).select(events.expand_params(F.lit("$1 $10 $21 $40 $41"), fields)).first()[0]
+    assert told == "v1 v10 v21 v40 $41"
+
+
+def test_carved_messages_are_told_by_templates(spark):
+    from gritstone.sources import evtx
+
+    raw = spark.createDataFrame([("eventlog", 1, "1", {"EventID": "4625", "ProviderName": "audit", "param1": "ann"}), ("eventlog", 2, "2", {"EventID": "x"}), ("journal", 3, "3", {"MESSAGE": "kept $1"})], "source string, time_ns long, sequence string, fields map<string,string>")
+    templates = spark.createDataFrame([("audit", 4625, "no logon for $1 by $2")], "service string, event_id long, template string")
+    found = {r["sequence"]: r["message"] for r in evtx.normalise(raw, templates).collect()}
+    assert found == {"1": "no logon for ann by $2", "2": "Undescribed event: ", "3": "kept $1"}
+    assert evtx.journal_ns({"SYSLOG_TIMESTAMP": "Jan  2 03:04:05"}, 1_704_000_000_000_000) == 1_672_628_645_000_000_000
+    assert evtx.journal_ns({"_SOURCE_REALTIME_TIMESTAMP": "17", "Timestamp": "2024-01-01"}, 5) == 17_000
+    assert evtx.journal_ns({"SYSLOG_TIMESTAMP": "soon", "Timestamp": "2024-01-01T00:00:00.5Z"}, 5) == 1_704_067_200_500_000_000 and evtx.journal_ns({}, 5) == 5_000
+
+
+def test_common_schema_carries_the_digest_of_its_document(spark):
+    from gritstone.functions.digests import murmur3
+    from gritstone.operators import render
+    from gritstone.plans.queries import hunted
+
+    doc = hunted(spark, "/root/testdata/sf0.001").limit(5).select(render.ecs().alias("e")).select("e.event.original", "e.event.hash").collect()
+    assert len(doc) == 5 and all(r["hash"] == murmur3(r["original"].encode()) for r in doc)
+
+
+def test_timeline_of_files(spark):
+    import struct
+    from datetime import datetime
+
+    from gritstone.operators import timeline
+
+    def filetime(seconds):
+        return (seconds + 11_644_473_600) * 10_000_000
+
+    rows = [("t", 0, "mft", '{"name":"a","inode":"7-1","size":-3,"mode":"-rwxrwxrwx","m_time":"2024-01-02T03:04:05.1234567Z","a_time":null,"c_time":null,"b_time":null,"anomaly":true}'), ("p", 0, "pf", '{"name":"RUN.EXE","size":9,"run_count":0,"run_times":["2024-01-03T00:00:00Z","2024-01-01T00:00:00Z"],"files":["x","y"]}'), ("e", 0, "elf", "{}")]
+    found = timeline.ordered(timeline.entries(spark.createDataFrame(rows, "path string, nth long, kind string, row string")), "path", "nth").collect()
+    assert [(r["path"], r["name"], r["size"], r["anomaly"]) for r in found] == [("p", "RUN.EXE", 9, True), ("p", "x", 0, False), ("p", "y", 0, False)] * 2 + [("t", "a", 0, True)]
+    assert found[0]["a_time"] == datetime(2024, 1, 1) and found[6]["m_time"] == datetime(2024, 1, 2, 3, 4, 5, 123456) and found[6]["inode"] == "7-1"
+    link = bytearray(76)
+    struct.pack_into("<I", link, 0, 0x4C)
+    struct.pack_into("<3Q", link, 28, filetime(1000), filetime(2000), filetime(3000))
+    one = timeline.file_timeline(spark.createDataFrame([("l", bytearray(link)), ("none", None)], "path string, content binary")).collect()
+    assert [(r["b_time"].timestamp(), r["a_time"].timestamp(), r["c_time"]) for r in one] == [(1000, 2000, None)]
+
+
+def test_output_filters(spark):
+    from gritstone.operators import hexdump, render
+
+    data = spark.createDataFrame([(1, bytearray(b"0123456789abcdef" * 2)), (2, bytearray(b"x"))], "id long, content binary")
+    rows = hexdump.pretty(hexdump.rows_of(data, "id"))
+    assert [r["id"] for r in hexdump.grep(rows, "37  38").collect()] == [1, 1] and hexdump.grep(rows, "37 38").count() == 0
+    assert [r["id"] for r in render.output_match(data, F.concat(F.lit("row "), F.col("id").cast("string")), "^row 2$").collect()] == [2]

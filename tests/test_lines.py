@@ -78,15 +78,15 @@ def test_text_sniff(spark):
 def test_hexdump_squeezes_runs(spark):
     row, other = b"U" * 16, b"0123456789abcdef"
     data = spark.createDataFrame([(0, bytearray(row * 3 + other + row * 2 + b"end")), (1, bytearray(b""))], "id long, content binary")
-    plain = hexdump.plain(hexdump.rows_of(data, "id"))
-    squeezed = [(x["offset"], x["values"]) for x in hexdump.squeeze(plain, "id").orderBy("offset").collect()]
+    plain = hexdump.plain(hexdump.rows_of(data, "id", before=2))
+    squeezed = [(x["offset"], x["values"]) for x in hexdump.squeeze(plain).orderBy("offset").collect()]
     u = "55 " * 16
     assert squeezed == [(0, u), (16, "*"), (48, "30 31 32 33 34 35 36 37 38 39 61 62 63 64 65 66 "), (64, u), (80, "*"), (96, "65 6e 64 ")]
 
 
 def test_hexdump_pretty(spark):
-    data = spark.createDataFrame([(0, bytearray(b"FOX\n0123 UUUUUUUX")), (1, bytearray(b"\xff" * 8))], "id long, content binary")
+    data = spark.createDataFrame([(0, bytearray(b"ROW\n4567 VVVVVVVW")), (1, bytearray(b"\xff" * 8))], "id long, content binary")
     found = hexdump.pretty(hexdump.rows_of(data, "id")).orderBy("id", "offset").select("address", "values", "chars").collect()
-    assert tuple(found[0]) == ("00000000", "46 4f 58 0a 30 31 32 33  20 55 55 55 55 55 55 55  ", "FOX·0123 UUUUUUU")
-    assert found[1]["values"] == "58 ".ljust(50) and found[1]["address"] == "00000010"
+    assert tuple(found[0]) == ("00000000", "52 4f 57 0a 34 35 36 37  20 56 56 56 56 56 56 56  ", "ROW·4567 VVVVVVV")
+    assert found[1]["values"] == "57 ".ljust(50) and found[1]["address"] == "00000010"
     assert found[2]["values"] == ("ff " * 8).ljust(50) and found[2]["chars"] == "·" * 8
