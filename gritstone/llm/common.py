@@ -7,8 +7,6 @@ the tasks it ran, never the stages before.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -16,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_folder, ship
 from ..sources.tables import spread
 
 __all__ = ["components", "drop_tables", "encoder", "hash_sample", "hot_rows", "look_up", "map_batches", "materialise", "partitions_for", "pieces_of", "raw_bytes", "shared_folder", "ship", "spread", "text_bytes", "written"]
@@ -24,18 +22,6 @@ __all__ = ["components", "drop_tables", "encoder", "hash_sample", "hot_rows", "l
 _written: dict[str, list[str]] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``; a temporary one only in local mode, which is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gritstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(__import__("shutil").rmtree, folder, True)
-    return folder.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read from there."""
     spark = df.sparkSession
