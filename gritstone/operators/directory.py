@@ -43,3 +43,9 @@ def history_rows(secrets: DataFrame) -> DataFrame:
         F.concat(F.col("sam_account_name"), F.lit("_history"), F.col("at").cast("string")).alias("sam_account_name"), "rid",
         F.coalesce("pair.lm", F.lit(EMPTY_LM)).alias("lm_hash"), F.coalesce("pair.nt", F.lit(EMPTY_NT)).alias("nt_hash"),
     )
+
+
+def single_digest(records: DataFrame, kind: str) -> DataFrame:
+    """``line``: one digest of each record and nothing else, ``lm`` or ``nt``; an absent one is that of the empty password."""
+    column, empty = {"lm": ("lm_hash", EMPTY_LM), "nt": ("nt_hash", EMPTY_NT)}[kind]
+    return records.select(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(empty)).alias("line"))

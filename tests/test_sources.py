@@ -338,3 +338,26 @@ def test_journal_fields_packed_with_lz4():
     for head, compact in ((64, False), (72, True)):
         data = b"\0" * 8 + bytes([1, 2]) + b"\0" * 6 + struct.pack("<Q", head + len(packed)) + b"\0" * (head - 16) + packed
         assert binary._journal_field(data, 8, compact) == b"MESSAGE=" + b"a" * 20
+
+
+def test_further_digests_by_published_vectors():
+    from gritstone.functions.more_digests import blake3
+
+    assert digest("BLAKE3-256", b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85" and digest("BLAKE3-512", b"abc").startswith(digest("BLAKE3-256", b"abc"))
+    assert blake3(bytes(k % 251 for k in range(2049))) == "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030"
+    assert digest("WHIRLPOOL", b"abc").startswith("4e2448a4c6f486bb16b6562c73b4020bf3043e3a731bce721ae1b303d97e6d4c")
+    assert digest("HAS-160", b"") == "307964ef34151d37c8047adec7ab50f4ff89762d" and digest("HAS-160", b"abc") == "975e810488cf2a3d49838478124afce4b1c78804"
+    assert digest("MD2", b"") == "8350e5a3e24c153df2275c9f80692773" and digest("MD2", b"abc") == "da853b0d3f88d99b30283a69e6ded6bb"
+    # similar files have similar signatures
+    one = bytes(zlib.crc32(b"%d" % k) & 255 for k in range(5000))
+    size, sign, _ = digest("SSDEEP", one).split(":")
+    assert digest("SSDEEP", b"") == "3::" and 32 <= len(sign) <= 64 and digest("SSDEEP", one[:2500] + b"x" + one[2500:]).split(":")[1][:20] == sign[:20]
+
+
+def test_files_without_digest_stay_only_without_lists(spark):
+    from gritstone.functions.digests import chosen
+
+    files = spark.createDataFrame([(1, "aa"), (2, ""), (3, None), (4, "bb")], "id long, digest string")
+    listed = spark.createDataFrame([("AA",)], "digest string")
+    ids = lambda rows: sorted(r["id"] for r in rows.collect())
+    assert ids(chosen(files, "digest")) == [1, 2, 3, 4] and ids(chosen(files, "digest", good=listed)) == [4] and ids(chosen(files, "digest", bad=listed)) == [1]
