@@ -116,7 +116,7 @@ FROM embeddings e JOIN named n ON e.vec_id = n.x LEFT JOIN counted c ON e.vec_id
 """
 
 
-def op8_sql() -> str:
+def secret_sql() -> str:
     """Places of matches by the lengths of what lies before them; each further kind where no span of the kinds before it is."""
 
     def folded(word: str) -> str:
@@ -223,4 +223,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_secret_scan": op8_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_secret_scan": secret_sql()}
