@@ -612,13 +612,15 @@ def json_detect(spark, sf_dir):
 MAGIC = [*codecs.DEFLATES, *codecs.ARCHIVES]
 
 
-@query(f"""WITH magic(nth, name, "offset", bytes) AS (VALUES {", ".join(f"({k}, '{n}', {o}, '{m.hex().upper()}')" for k, (n, o, m) in enumerate(codecs.DEFLATES))}),
-tagged AS (SELECT doc_id, (SELECT bytes FROM magic WHERE nth = doc_id % {len(codecs.DEFLATES)}) || hex(encode(text)) AS digits FROM documents)
-SELECT doc_id, (SELECT first(name ORDER BY nth) FROM magic WHERE starts_with(digits, bytes)) AS kind FROM tagged""")
+@query(f"""WITH magic(nth, name, "offset", bytes) AS (VALUES {", ".join(f"({k}, '{n}', {o}, '{m.hex().upper()}')" for k, (n, o, m) in enumerate(MAGIC))}),
+tagged AS (SELECT doc_id, repeat('00', "offset") || bytes || coalesce(hex(encode(text)), '') AS digits FROM documents JOIN magic ON nth = doc_id % {len(MAGIC)})
+SELECT doc_id, (SELECT first(name ORDER BY nth) FROM magic WHERE substr(digits, 2 * "offset" + 1, length(bytes)) = bytes) AS kind FROM tagged""")
 def detect_magic(spark, sf_dir):
-    head = F.get(F.array(*[F.lit(m) for _, _, m in codecs.DEFLATES]), (F.col("doc_id") % len(codecs.DEFLATES)).cast("int"))
-    data = documents(spark, sf_dir).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
-    return data.select("doc_id", codecs.detect(F.col("content"), codecs.DEFLATES).alias("kind"))
+    """Every document behind one of the magic numbers at its place, a null text as an empty one."""
+    head = F.get(F.array(*[F.lit(m) for _, _, m in MAGIC]), (F.col("doc_id") % len(MAGIC)).cast("int"))
+    before = F.get(F.array(*[F.lit(o) for _, o, _ in MAGIC]), (F.col("doc_id") % len(MAGIC)).cast("int"))
+    data = documents(spark, sf_dir).select("doc_id", F.concat(F.unhex(F.repeat(F.lit("00"), before)), head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    return data.select("doc_id", codecs.detect(F.col("content"), MAGIC).alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN false ELSE text <> '' END AS is_text FROM documents WHERE text IS NOT NULL")

@@ -119,9 +119,13 @@ def file_table(data: bytes, size: int = 1024) -> Iterator[dict]:
 
 
 def prefetch(data: bytes) -> dict:
-    """A program's runs: name, count, times and the files it used. Packed files are not read."""
+    """A program's runs: name, count, times and the files it used. Packed files are unpacked first."""
+    if data[:4] == b"MAM\x04":
+        from .blocks import xpress_huffman
+
+        data = xpress_huffman(data[8:], struct.unpack_from("<I", data, 4)[0])
     if data[4:8] != b"SCCA":
-        raise ValueError("packed prefetch files need an unpacker")
+        raise ValueError("no prefetch file")
     version = struct.unpack_from("<I", data, 0)[0]
     name = _wide(data, 16)
     _, _, _, _, names_at, names_size = struct.unpack_from("<6I", data, 84)

@@ -399,3 +399,53 @@ def seven_zip(data: bytes, password: bytes | None, most: int) -> Iterator[tuple[
     for name, none in zip(names, empty, strict=False):
         if not none and bodies:
             yield name, bodies.pop(0)[:most]
+
+
+def xpress_huffman(data: bytes, size: int) -> bytes:
+    """``size`` bytes from chunks of 64 KB, each with the lengths of its 512 codes: literals, then copies by length and distance."""
+    out, at = bytearray(), 0
+
+    def word(place: int) -> int:
+        return int.from_bytes(data[place : place + 2], "little")
+
+    while len(out) < size:
+        lengths = [x for byte in data[at : at + 256] for x in (byte & 15, byte >> 4)]
+        if len(lengths) < 512:
+            raise ValueError("table of codes missing")
+        symbols = [0] * (1 << 15)
+        filled = 0
+        for length, symbol in sorted((x, k) for k, x in enumerate(lengths) if x):
+            step = 1 << 15 - length
+            symbols[filled : filled + step] = [symbol] * step
+            filled += step
+        held, spare, at = word(at + 256) << 16 | word(at + 258), 16, at + 260
+        end = min(size, len(out) + 65536)
+
+        def drop(count: int) -> None:
+            nonlocal held, spare, at
+            held, spare = held << count & 0xFFFFFFFF, spare - count
+            if spare < 0:
+                held |= word(at) << -spare
+                spare, at = spare + 16, at + 2
+
+        while len(out) < end:
+            if at > len(data) + 4:
+                raise ValueError("data end early")
+            symbol = symbols[held >> 17]
+            drop(lengths[symbol] or 15)
+            if symbol < 256:
+                out.append(symbol)
+                continue
+            length, bits = symbol & 15, symbol - 256 >> 4
+            if length == 15:
+                length, at = data[at], at + 1
+                if length == 255:
+                    length, at = word(at) - 15, at + 2
+                length += 15
+            distance = (held >> 32 - bits) + (1 << bits) if bits else 1
+            drop(bits)
+            if not 0 < distance <= len(out):
+                raise ValueError("distance out of range")
+            for _ in range(length + 3):
+                out.append(out[-distance])
+    return bytes(out[:size])

@@ -119,3 +119,25 @@ def test_damage_never_raises():
             bad = bytearray(data)
             bad[rng.randrange(4, len(bad))] = rng.randrange(256)
             list(codecs.expand("x", bytes(bad)))
+
+
+def test_packed_prefetch_files_are_unpacked():
+    from gritstone.sources import binary
+    from gritstone.sources.blocks import xpress_huffman
+
+    def packed(symbols):
+        """Chunks of codes that are all nine bits long: (symbol, extra bits, their count)."""
+        bits = "".join(f"{s:09b}" + (f"{extra:0{count}b}" if count else "") for s, extra, count in symbols)
+        bits += "0" * (-len(bits) % 16 + 32)
+        return bytes([0x99]) * 256 + b"".join(int(bits[k : k + 16], 2).to_bytes(2, "little") for k in range(0, len(bits), 16))
+
+    # "abcabcabcab" and then ten copies of the last byte: distance 3 takes one extra bit, distance 1 none
+    text = b"abc" + b"abcabcab" + b"b" * 10
+    data = packed([(97, 0, 0), (98, 0, 0), (99, 0, 0), (256 + (1 << 4 | 5), 1, 1), (256 + 7, 0, 0)])
+    assert xpress_huffman(data, len(text)) == text
+    plain = bytearray(300)
+    plain[0:8] = (17).to_bytes(4, "little") + b"SCCA"
+    plain[16:24] = "RUN\0".encode("utf-16-le")
+    file = b"MAM\x04" + len(plain).to_bytes(4, "little") + packed([(x, 0, 0) for x in plain])
+    assert binary.prefetch(file) == binary.prefetch(bytes(plain)) and binary.prefetch(file)["name"] == "RUN"
+    assert [k for k, _ in binary.rows_of(file)] == ["pf"] and list(binary.rows_of(file[:100])) == []
