@@ -361,3 +361,33 @@ def test_files_without_digest_stay_only_without_lists(spark):
     listed = spark.createDataFrame([("AA",)], "digest string")
     ids = lambda rows: sorted(r["id"] for r in rows.collect())
     assert ids(chosen(files, "digest")) == [1, 2, 3, 4] and ids(chosen(files, "digest", good=listed)) == [4] and ids(chosen(files, "digest", bad=listed)) == [1]
+
+
+def portable(imports):
+    """A 32-bit executable of one section that holds an import table: library -> names or ordinals."""
+    base, body = 0x1000, bytearray(20 * (len(imports) + 1))
+    def put(data):
+        body.extend(data)
+        return base + len(body) - len(data)
+    for k, (library, names) in enumerate(imports.items()):
+        thunks = [x | 1 << 31 if isinstance(x, int) else put(b"\0\0" + x.encode() + b"\0") for x in names]
+        table = put(struct.pack(f"<{len(thunks) + 1}I", *thunks, 0))
+        struct.pack_into("<5I", body, 20 * k, table, 0, 0, put(library.encode() + b"\0"), table)
+    head = bytearray(0x200)
+    head[:2], head[60:64], head[64:68] = b"MZ", struct.pack("<I", 64), b"PE\0\0"
+    struct.pack_into("<2H3I2H", head, 68, 0x14C, 1, 0, 0, 0, 224, 2)
+    struct.pack_into("<H", head, 88, 0x10B)
+    struct.pack_into("<2I", head, 88 + 96 + 8, base, len(body))
+    head[88 + 224 : 88 + 230] = b".idata"
+    struct.pack_into("<4I", head, 88 + 224 + 8, len(body), base, len(body), 0x200)
+    return bytes(head + body)
+
+
+def test_digests_of_imports():
+    import hashlib
+
+    data = portable({"KERNEL32.dll": ["WriteFile", "CreateFileW"], "odd.name": [7]})
+    listed = ["kernel32.writefile", "kernel32.createfilew", "odd.name.ord7"]
+    assert digest("IMPHASHO", data) == hashlib.md5(",".join(listed).encode()).hexdigest()
+    assert digest("IMPHASHS", data) == hashlib.md5(",".join(sorted(listed)).encode()).hexdigest()
+    assert digest("IMPFUZZY", data).startswith("3:") and digest("IMPHASHO", b"text") == "DOS Header magic not found"
