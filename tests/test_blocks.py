@@ -10,7 +10,7 @@ import pytest
 
 from gritstone.sources import blocks, codecs
 
-TEXT = b"the quick brown fox " * 40 + bytes(range(256)) + b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
+TEXT = b"grey stones in a wall " * 40 + bytes(range(256)) + b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
 
 
 def test_lz4_frames():
