@@ -18,7 +18,8 @@ shard returns sums of links and one edge per vector to the smallest of its local
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component, or whose
 label is null, links with nothing; vectors of other lengths never link; rows that repeat a vec_id
-are links of each other if their vectors are; a null vec_id counts as a link but names no group;
+are links of each other if their vectors are; a row without vec_id counts as a link where a row that
+has one holds the same vector, and else links with nothing;
 other columns are ignored; an empty table gives an empty result.
 """
 
