@@ -543,12 +543,12 @@ def hash_map(spark, sf_dir):
     return each.select("doc_id", F.explode("hash").alias("name", "digest"))
 
 
-def _crc_table() -> list[int]:
-    """What each byte does to a CRC-32 with the reflected polynomial."""
+def _crc_table(poly: int = 0xEDB88320) -> list[int]:
+    """What each byte does to a CRC-32 with a reflected polynomial."""
     out = []
     for value in range(256):
         for _ in range(8):
-            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+            value = value >> 1 ^ (poly if value & 1 else 0)
         out.append(value)
     return out
 
@@ -844,4 +844,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-
+from . import file_queries  # noqa: E402,F401  registers its queries

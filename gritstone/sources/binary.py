@@ -14,7 +14,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 
-from .codecs import CONVERTERS, kind_of
+from .codecs import BATCH_BYTES, BATCH_ROWS, CONVERTERS, kind_of
 
 #: 100-nanosecond steps from 1601 to 1970.
 EPOCH = 116_444_736_000_000_000
@@ -279,11 +279,17 @@ def parse(blobs: DataFrame) -> DataFrame:
     def run(batches) -> Iterator:
         import pandas as pd
 
+        names, held, size = ["path", "nth", "kind", "row"], [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, k, kind, json.dumps(row, ensure_ascii=False)) for k, (kind, row) in enumerate(rows_of(bytes(content or b"")))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "nth", "kind", "row"])
+                for k, (kind, row) in enumerate(rows_of(bytes(content or b""))):
+                    held.append((path, k, kind, json.dumps(row, ensure_ascii=False)))
+                    size += len(held[-1][3])
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return blobs.select("path", "content").mapInPandas(run, "path string, nth long, kind string, row string")
 

@@ -281,17 +281,16 @@ def carve_events(blobs: DataFrame, templates: DataFrame | None = None) -> DataFr
     def run(batches) -> Iterator:
         import pandas as pd
 
-        names = ["source", "time_ns", "sequence", "fields"]
+        names, rows = ["source", "time_ns", "sequence", "fields"], []
         for batch in batches:
             for content in batch["content"]:
-                rows = []
                 for row in raw_events(bytes(content or b"")):
                     rows.append(row)
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     raw = blobs.select("content").mapInPandas(run, "source string, time_ns long, sequence string, fields map<string,string>")
     return normalise(raw, templates)
