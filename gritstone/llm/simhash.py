@@ -12,8 +12,9 @@ shard goes on splitting by vantage points in memory until small sets are left, w
 exactly. It returns one edge per node to the smallest node of its local group, never pairs. The
 components of these edges are the groups.
 
-A radius of a few bits is what the bounds can prune. :func:`keep_first` therefore also takes a
-``similarity`` instead: groups then come from exact sets of shingles, see :mod:`.jaccard_dedup`.
+A radius of a few bits is what the bounds can prune. :func:`keep_first` also takes a ``similarity``
+instead: many short fingerprints, each with a tree and a small radius, then find what one with a large
+radius would, and exact sets of shingles verify it; see :mod:`.jaccard_dedup`.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; texts
 shorter than a shingle are hashed whole; repeated rows are returned as often as they occur; rows that
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(given, run, "doc_id long, text_key long, print long")
 
 
-def _split(prints, rng):
+def split(prints, rng):
     """(vantage, radius) that halves ``prints`` best of a few vantage points, or None if none does."""
     import numpy as np
 
@@ -107,7 +108,7 @@ def grow(prints, leaf: int, seed: int = 7) -> list:
     todo = [(prints, None, 0)]
     while todo:
         some, parent, side = todo.pop()
-        cut = _split(some, rng) if len(some) > leaf else None
+        cut = split(some, rng) if len(some) > leaf else None
         if cut is None:
             child, shards = -shards - 1, shards + 1
         else:
@@ -186,7 +187,7 @@ def link_within(prints, home, reach: int, small: int = SMALL, seed: int = 11) ->
         if not at_home.any() or len(row) < 2:
             continue
         own = row[at_home]
-        cut = _split(prints[own], rng) if len(own) > small else None
+        cut = split(prints[own], rng) if len(own) > small else None
         if cut is None:
             for k in range(0, len(own), 256):
                 near = np.bitwise_count(prints[own[k : k + 256]][:, None] ^ prints[row][None, :]) <= reach

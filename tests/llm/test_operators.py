@@ -512,6 +512,66 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark, none, monkeypat
     assert simhash.keep_first(none, similarity=0.8).count() == 0
 
 
+def test_wide_links_come_through_vantage_point_trees(spark, monkeypatch):
+    import pyarrow as pa
+
+    from gritstone.llm import jaccard_dedup as wide_dedup
+
+    rng, sets = np.random.default_rng(8), []
+    for n in (4, 8, 20, 40, 48, 52, 64, 80, 400) * 12:
+        x = rng.integers(0, 1 << 63, n * 5 // 4, dtype=np.uint64)
+        sets += [x[:n], x]
+    prints = [wide_dedup.long_prints(np.unique(x)) for x in sets]
+    rows = sorted({p for x in prints for p in x})
+    wide, tables = wide_dedup.unpacked(pa.array(rows, pa.binary()))
+    far = wide_dedup.apart(wide[:, None], wide[None, :])
+    met = (np.bitwise_count(tables[:, None] ^ tables[None, :]) <= wide_dedup.REACH).any(axis=2) & (far <= wide_dedup.WIDE_REACH)
+    want = simhash.Forest(len(rows))
+    want.join(*np.nonzero(met))
+    group = dict(zip(rows, want.roots(np.arange(len(rows))).tolist(), strict=True))
+    # sets of similarity 0.8 meet, whatever their size, and strangers do not
+    assert all({group[p] for p in a} & {group[p] for p in b} for a, b in zip(prints[::2], prints[1::2], strict=True))
+    assert max(collections.Counter(group.values()).values()) <= 4
+    expected = {frozenset(p[:16] for p in rows if group[p] == g) for g in set(group.values())}
+    expected = {x for x in expected if len(x) > 1}
+    nodes = spark.createDataFrame([(p,) for p in rows], "print binary")
+    # one shard; the driver's trees; trees grown anew in their leaves; shards cut into pieces
+    for shard, piece, sample in ((1000, 1000, 1000), (40, 1000, 1000), (40, 1000, 64), (40, 30, 64)):
+        for name, value in (("SHARD", shard), ("PIECE", piece), ("SAMPLE", sample)):
+            monkeypatch.setattr(wide_dedup, name, value)
+        assert all(bool(x) == (shard < len(rows)) for x in wide_dedup.vantage_trees(nodes, len(rows), shard))
+        found = collections.defaultdict(set)
+        for r in common.components(wide_dedup.candidate_edges(nodes)).collect():
+            found[r["component"]].add(bytes(r["node"]))
+        assert {frozenset(x) for x in found.values()} == expected
+    # no other path finds near copies
+    text = prose(random.Random(4), 200)
+    near = spark.createDataFrame([(1, text), (2, text + " tail"), (3, text)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_first(near, size=5, similarity=0.8).collect()] == [1]
+    monkeypatch.setattr(wide_dedup, "candidate_edges", lambda nodes: spark.createDataFrame([], "a binary, b binary"))
+    assert sorted(r["doc_id"] for r in simhash.keep_first(near, size=5, similarity=0.8).collect()) == [1, 2]
+
+
+def test_crowds_that_no_vantage_point_parts():
+    from gritstone.llm import jaccard_dedup as wide_dedup
+
+    rng = np.random.default_rng(3)
+    prints = np.uint32(77) ^ (np.uint32(1) << rng.integers(0, 20, 700, dtype=np.uint32))
+    prints[:300] = 77
+    wide = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)[rng.integers(0, 40, 700)] ^ (np.uint64(1) << rng.integers(0, 64, (700, 2), dtype=np.uint64))
+    met = (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 1) & (wide_dedup.apart(wide[:, None], wide[None, :]) <= wide_dedup.WIDE_REACH)
+    want = simhash.Forest(700)
+    want.join(*np.nonzero(met))
+    got = wide_dedup.candidates_within(prints, wide, np.ones(700, bool), small=8)
+    assert (got.roots(np.arange(700)) == want.roots(np.arange(700))).all()
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(300)]
+    sets += [x[: len(x) * 9 // 10] for x in sets[:100]]
+    shared = [set(x.tolist()) for x in sets]
+    close = [(a, b) for a in range(400) for b in range(a) if alike(shared[a], shared[b])]
+    up, group = smallest(set(range(400)), close), wide_dedup.link(sets, 0.8)
+    assert all((group[a] == group[b]) == (up[a] == up[b]) or not (shared[a] or shared[b]) for a in range(400) for b in range(a))
+
+
 def test_components_of_hard_shapes(spark):
     path = [(k, k + 1) for k in range(0, 40)]
     star = [(1000, k) for k in range(900, 960)]
