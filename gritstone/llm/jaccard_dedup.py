@@ -15,6 +15,7 @@ pi). Such a pair is within the radius of no tree with probability 1.4e-6, and be
 1.3e-6; both fall fast above 0.8. Majorities of few shingles differ more often, so sets of at
 most ``FEW`` take each shingle's hash in ``PARTS`` variants, as if they were that many shingles; those
 from ``MANY`` on have a SimHash as they are, those between both, so any pair in reach shares a kind.
+All these numbers are set for similarities of 0.8 and more; below, pairs are missed more often.
 
 Shards with more rows than a task takes are cut into pieces, and each two pieces meet in a task. So are
 components of very many nodes or very long sets, in tiles; so memory is bounded and no pair is left out.
