@@ -86,6 +86,24 @@ def test_archives(pack):
     assert list(codecs.expand("x", pack(**{"note.txt": SAMPLE, "b": b"2"}))) == [("x!note.txt", SAMPLE), ("x!b", b"2")]
 
 
+def test_packages_expand_up_to_the_limit():
+    from gritstone.plans.containers import ARCHIVES
+
+    text = b"Et " * 100_000
+    members = [("a.txt", text), ("b.txt", b"2")]
+    package = ARCHIVES["rpm"](members)
+    assert len(text) > 100 * len(package)
+    assert list(codecs.unpack("x", package, codecs.Limits(expansion=10_000))) == [("x!a.txt", text, None), ("x!b.txt", b"2", None)]
+    first, rest = codecs.unpack("x", package)
+    assert first[0] == "x!a.txt" and text.startswith(first[1]) and len(first[1]) > 99 * len(package) and first[2] == codecs.CUT
+    assert rest == ("x", package, codecs.CUT)
+    head = package[: package.index(b"\x1f\x8b")]
+    alone = head + lzma.compress(cpio(a=text, b=b"2"), lzma.FORMAT_ALONE)
+    assert [(n, e) for n, _, e in codecs.unpack("x", alone, codecs.Limits(expansion=10_000))] == [("x!a", None), ("x!b", None)]
+    assert [(n, e) for n, _, e in codecs.unpack("x", alone)] == [("x!a", codecs.CUT), ("x", codecs.CUT)]
+    assert [e for *_, e in codecs.unpack("x", (head + lzma.compress(cpio(a=SAMPLE), lzma.FORMAT_ALONE))[:-9])] == [codecs.BROKEN]
+
+
 def test_nests_are_bounded():
     data = SAMPLE
     for _ in range(4):
