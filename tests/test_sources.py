@@ -226,6 +226,44 @@ def test_digest_vectors(spark):
         digests(F.col("c"), ["nope"])
 
 
+def test_checksums_of_many_values_are_those_of_each_byte():
+    import random
+    from time import process_time
+
+    from gritstone.functions import crc
+    from gritstone.functions.digests import CRCS, crc_each
+
+    def of_bits(data):
+        value = 0xFFFF
+        for byte in data:
+            value ^= byte << 8
+            for _ in range(8):
+                value = (value << 1 ^ (0x1021 if value & 0x8000 else 0)) & 0xFFFF
+        return f"{value:04x}"
+
+    def turned(data):
+        value = 0
+        for byte in data:
+            value = ((value >> 1) + ((value & 1) << 15) + byte) & 0xFFFF
+        return f"{value:05d}"
+
+    some = random.Random(1)
+    values = [some.randbytes(n) for n in (0, 1, 3, 4, 7, 8, 9, 255, 256, 257, 511, 512, 513, 0, 5000, 65_537, 2)] + [b"\xff" * 3000, bytes(700)]
+    for name, (poly, width) in CRCS.items():
+        assert crc_each(name, values) == [f"{crc._plain(x, poly, width):0{width // 4}x}" for x in values]
+    assert [digest("CRC16-CCITT", x) for x in values] == [of_bits(x) for x in values] and [digest("BSD", x) for x in values] == [turned(x) for x in values]
+    assert digest("SYSV", b"") == "00000" and digest("SYSV", b"\xff" * 3000) == f"{sum([255] * 3000) % 65536 + sum([255] * 3000) // 65536:05d}"
+
+    def seconds(f):
+        start = process_time()
+        f()
+        return process_time() - start
+
+    large, one = some.randbytes(4 << 20), some.randbytes(1 << 20)
+    byte_by_byte = seconds(lambda: crc._plain(one, *CRCS["CRC32-C"]))
+    assert sum(seconds(lambda n=n: digest(n, large)) for n in ("CRC32-C", "CRC32-K", "CRC16-CCITT", "SYSV")) < 2 * byte_by_byte
+
+
 def test_known_files(spark):
     files = spark.createDataFrame([("a", "AA"), ("b", "bb"), ("c", "")], "file string, d string")
     known = spark.createDataFrame([("aa",)], "d string")
