@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, sanitize
 from ..schemas import TIMELINE
+from ..shipping import written_once
 
 TIMES = ("m_time", "a_time", "c_time", "b_time")
 
@@ -77,8 +78,13 @@ def entries(parsed: DataFrame) -> DataFrame:
 
 
 def file_timeline(blobs: DataFrame, sort: bool = True) -> DataFrame:
-    """The timeline of blobs (path, content): file tables, shortcuts and prefetch files, in order within each file."""
-    from ..sources.binary import parse
+    """The timeline of blobs (path, content): file tables, shortcuts and prefetch files, in order within each file.
 
-    found = entries(parse(blobs))
-    return ordered(found, "path", "nth") if sort else found
+    The same as :func:`entries` of the parsed files, with the times as numbers instead of text. A sort reads
+    its rows twice, to find the ranges and to sort, so these are written once before it.
+    """
+    from ..sources.binary import parse_timeline
+
+    rows = parse_timeline(blobs)
+    rows = rows.select("path", "nth", *[F.timestamp_micros(x.name).alias(x.name) if x.name in TIMES else F.col(x.name) for x in TIMELINE])
+    return ordered(written_once(rows, "timeline"), "path", "nth") if sort else rows

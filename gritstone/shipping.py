@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,3 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder, True)
     return folder.rstrip("/")
+
+
+def written_once(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, for what reads them more than once."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -164,6 +164,59 @@ def test_timeline_of_files(spark):
     assert [(r["b_time"].timestamp(), r["a_time"].timestamp(), r["c_time"]) for r in one] == [(1000, 2000, None)]
 
 
+def odd_files():
+    """Blobs of file tables, shortcuts and program runs: whole, with odd times and sizes, and broken."""
+    import random
+    import struct
+
+    import pandas as pd
+
+    from gritstone.plans import containers
+
+    names, numbers = pd.Series(["order5.txt", "é" * 3, "", "x\U0001d11ey"]), pd.Series([5, 6, 7, (1 << 32) - 1])
+    tables = list(containers.file_record.func(names, numbers, pd.Series([500, 0, 1 << 40, 3]), pd.Series([1_700_000_000, -5, 0, 10**10]), pd.Series([60, -60, 0, 5])))
+    links = list(containers.shortcut.func(pd.Series(["C:\\x.lnk", "é", ""]), pd.Series([5, 6, 7]), pd.Series([0, 1, 1]), pd.Series([1_700_000_000, -5, 10**10])))
+    table = bytearray(b"".join(tables))
+    struct.pack_into("<4Q", table, 80, 1, (1 << 64) - 1, 0, 133_000_000_000_000_007)
+    table[128 + 112 + 48 : 128 + 112 + 56] = b"\xff" * 8
+    runs = bytearray(300)
+    runs[:8], runs[16:24] = (23).to_bytes(4, "little") + b"SCCA", "RUN\0".encode("utf-16-le")
+    struct.pack_into("<2I", runs, 100, 250, 8)
+    runs[250:258] = "x\0y\0".encode("utf-16-le")
+    struct.pack_into("<Q", runs, 128, 133_000_000_000_000_007)
+    whole = [*tables, bytes(table), *links, bytes(runs), b"", b"no format"]
+    some = random.Random(3)
+    broken = [x[: some.randrange(len(x))] for x in whole if x for _ in range(3)]
+    for data in [x for x in whole if x for _ in range(10)]:
+        data = bytearray(data)
+        data[some.randrange(len(data))] = some.randrange(256)
+        broken.append(bytes(data))
+    return [(f"f{k:03}", bytearray(x)) for k, x in enumerate(whole + broken)]
+
+
+def test_timelines_are_those_of_the_parsed_files(spark):
+    from gritstone.sources import binary
+
+    blobs = spark.createDataFrame([*odd_files(), ("none", None)], "path string, content binary")
+    kept = timeline.ordered(timeline.entries(binary.parse(blobs)), "path", "nth").collect()
+    assert timeline.file_timeline(blobs).collect() == kept and {"RUN", "x", "y", "order5.txt", "C:\\x.lnk"} <= {x["name"] for x in kept}
+    assert sorted(timeline.file_timeline(blobs, sort=False).collect(), key=str) == sorted(kept, key=str)
+
+
+def test_files_are_made_once_for_an_ordered_timeline(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    files = odd_files()
+    blobs = spark.createDataFrame(files, "path string, content binary").repartition(3).mapInArrow(count, "path string, content binary")
+    assert timeline.file_timeline(blobs).count() and timeline.file_timeline(blobs).select("name", "path").collect()
+    assert made.value == 2 * len(files)
+
+
 def test_output_filters(spark):
     from gritstone.operators import hexdump, render
 
