@@ -217,6 +217,18 @@ def test_files_are_made_once_for_an_ordered_timeline(spark):
     assert made.value == 2 * len(files)
 
 
+def test_shortcuts_are_told_without_times_as_text(monkeypatch):
+    from gritstone.sources import binary
+
+    links = [bytes(x) for _, x in odd_files() if bytes(x[:4]) == b"L\0\0\0"]
+    told = [binary.shortcut(x) for x in links[:3]]
+    monkeypatch.setattr(binary, "filetime", None)
+    monkeypatch.setattr(binary, "json", None)
+    found = [list(binary.timeline_entries(x)) for x in links[:3]]
+    assert [(x[0][0], x[0][2], x[0][3]) for x in found] == [(x["name"], x["size"], x["mode"]) for x in told]
+    assert [x[0][4:8] for x in found] == [(1_700_000_002_000_000, 1_700_000_001_000_000, None, 1_700_000_000_000_000), (-3_000_000, -4_000_000, None, -5_000_000), (10_000_000_002_000_000, 10_000_000_001_000_000, None, 10_000_000_000_000_000)]
+
+
 def test_output_filters(spark):
     from gritstone.operators import hexdump, render
 
