@@ -638,19 +638,19 @@ def expand_archives(spark, sf_dir):
         import io
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
             packed = []
-            for text in batch["text"]:
+            for text in batch.column("text"):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr("", text)
+                    archive.writestr("", text.as_py())
                 packed.append(gzip.compress(out.getvalue(), 1))
-            yield pd.DataFrame({"path": batch["path"], "content": packed})
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(packed, pa.binary())], names=["path", "content"])
 
     rows = documents(spark, sf_dir, "doc_id", "text", "source").where("text is not null").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".gz")).alias("path"), "text")
-    files = codecs.expand_blobs(rows.mapInPandas(wrap, "path string, content binary"), codecs.Limits(expansion=10_000))
+    files = codecs.expand_blobs(rows.mapInArrow(wrap, "path string, content binary"), codecs.Limits(expansion=10_000))
     return files.select("path", "size", F.sha2("content", 256).alias("sha256"))
 
 

@@ -40,6 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch, with one row at least, where the session keeps Spark's own 64 MB or the 16 MB of ``gritstone.llm``.
+BATCHES, THEIRS, OURS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "16777216b"), "4194304b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """A Python worker holds several copies of a batch, so its memory goes by this and the longest row, not by the input."""
+    if spark.conf.get(BATCHES, THEIRS[0]) in THEIRS:
+        spark.conf.set(BATCHES, OURS)
+
+
 def written_once(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a table in the shared folder, for what reads them more than once."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"

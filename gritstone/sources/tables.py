@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
+from ..shipping import bound_batches, ship
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table; times without a zone are in UTC, which the session is set to."""
     ship(spark)
+    bound_batches(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     return rows.withColumns({c: rows[c].cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})

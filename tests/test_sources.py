@@ -122,6 +122,26 @@ def test_what_is_not_unpacked_is_given_with_the_reason(spark):
     assert bytes(found["deep"]["content"]) == deep and len(found["bomb!a"]["content"]) == 100 * len(bomb) and found["bomb!a"]["part"] == "a"
 
 
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    from gritstone.shipping import BATCHES, THEIRS
+
+    spark.conf.set(BATCHES, THEIRS[0])
+    blobs = spark.range(0, 24, 1, 1).select(F.col("id").cast("string").alias("path"), F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+    assert codecs.expand_blobs(blobs).agg(F.sum("size")).first()[0] == 24 << 20
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    assert max(x[0] for x in blobs.mapInArrow(sizes, "n long").collect()) < 6 << 20
+    spark.conf.set(BATCHES, "1m")
+    codecs.expand_blobs(blobs)
+    assert spark.conf.get(BATCHES) == "1m"
+    spark.conf.unset(BATCHES)
+
+
 def test_each_path_is_read_by_its_own_pattern(spark, tmp_path):
     for name in ("a/one.dd", "a/b/two.dd", "a/b/c/three.dd", "a/b/two.log", "y/two.evtx", "y/+ %41.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
