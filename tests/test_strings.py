@@ -68,6 +68,20 @@ def test_entropy_and_counts(spark):
     assert [x["path"] for x in stats.in_entropy_range(stats.file_stats(data, "path"), 0.5, 8.0).orderBy("path").collect()] == ["f3", "f4"]
 
 
+def test_entropy_of_a_long_file_takes_no_copies_of_it():
+    import tracemalloc
+
+    import pandas as pd
+
+    data = pd.Series([bytes(range(256)) * (1 << 17), b"", None, b"ab" * 3_000_001])
+    tracemalloc.start()
+    try:
+        assert list(stats._entropy.func(data)) == [8.0, 0.0, 0.0, 1.0]
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_blocks(spark):
     found = stats.block_stats(blob(spark, b"a" * 10 + b"\n" * 10, b""), "path", 8).orderBy("offset").collect()
     assert [(x["offset"], x["bytes"], x["lines"], x["is_block"]) for x in found] == [(0, 8, 0, True), (8, 8, 6, True), (16, 4, 4, True)]
